@@ -17,6 +17,8 @@ from .common import Scratch, components
 BITS = 64
 #: A cell of more fingerprints than this isn't verified pair by pair: its members meet at midpoints instead, which is exact as well.
 CELL = 2048
+#: Cost of a probe, which is a row to shuffle, in comparisons of two fingerprints within a task.
+PROBE = 1000
 #: From so many distinct fingerprints on, two partitions of 32 bits are cheaper than three of about 21.
 WIDE_FROM = 1 << 24
 
@@ -113,7 +115,7 @@ def estimates(both: np.ndarray, n: int, groups: list[list[int]], same: list[floa
             dist[1:] = dist[1:] * (1 - q) + dist[:-1] * q
             dist[0] *= 1 - q
         for t in range(tau + 1):
-            out[i, t + 1] = max(same[i], float(n) * n * dist[: t + 1].sum()) + n * spheres(len(g), t)
+            out[i, t + 1] = max(same[i], float(n) * n * dist[: t + 1].sum()) + PROBE * n * spheres(len(g), t)
     return out
 
 
