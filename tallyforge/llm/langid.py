@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 
 #: Hashed n-gram dimensions, centroids of a language, and the bounds of the training sample: rows of a language (about) and rows in all.
 DIMS, CENTROIDS, SAMPLE_ROWS, SAMPLE_ALL = 1 << 13, 4, 400, 20_000
+#: So many languages are learned at most, the most frequent ones.
+MOST_LANGS = 1000
 UNKNOWN = "und"
 
 
@@ -100,10 +102,10 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_ROWS, most: int = SAMPLE_ALL) ->
     by tasks from whole texts; only sparse vectors come to the driver, where the centroids are clustered.
     """
     rows = docs.select("doc_id", "text", "lang").where((bucket() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)  # so its broadcast is bounded, and no text is shuffled
     h = F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double") / float(1 << 53)
     share = F.lit(float(per_lang)) / F.col("n")
-    picked = rows.join(sizes, "lang").where(h < share)
+    picked = rows.join(F.broadcast(sizes), "lang").where(h < share)
 
     def run(batches):
         for b in batches:
