@@ -247,4 +247,5 @@ def keep_one(docs: DataFrame, tau: int = 2, width: int = 3, seed: int = 42) -> D
     slim = whole.select("doc_id", "fp", "at")
     found = groups(slim, scratch, tau).select("fp", "root")
     best = slim.join(found, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("best"))
-    return whole.join(scratch.cut(best.select("best.at")), "at", "left_semi").select("row.*")
+    # neither side has a bound, so neither is broadcast
+    return whole.join(scratch.cut(best.select("best.at")).hint("merge"), "at", "left_semi").select("row.*")
