@@ -93,9 +93,9 @@ def _cut_at(counts: DataFrame, keys: list[str], value: str, share: float) -> Dat
     return c.where(F.col("upto") >= F.ceil(F.col("total") * F.lit(share))).groupBy(*keys).agg(F.min(value).alias("cut"))
 
 
-def _start(rows: DataFrame) -> DataFrame:
+def _start(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """Medians and scales (from quartiles) of each key, from histograms of bins of 1/256: key, m0.., l00.. (a diagonal matrix)."""
-    long_ = rows.select("key", F.posexplode(F.array(*NAMES)).alias("dim", "x")).groupBy("key", "dim", F.round(F.col("x") * 256).alias("bin")).agg(F.count("*").alias("n"))
+    long_ = scratch.cut(rows.select("key", F.posexplode(F.array(*NAMES)).alias("dim", "x")).groupBy("key", "dim", F.round(F.col("x") * 256).alias("bin")).agg(F.count("*").alias("n")))
     q = [_cut_at(long_, ["key", "dim"], "bin", s).withColumnRenamed("cut", f"q{i}") for i, s in enumerate((0.25, 0.5, 0.75))]
     at = q[0].join(q[1], ["key", "dim"]).join(q[2], ["key", "dim"])
     out = []
@@ -151,12 +151,13 @@ def mcd(rows: DataFrame, scratch: Scratch, share: float = SHARE, steps: int = ST
     Concentration steps lower the determinant each; they start at medians and quartiles, so they are the same in every run. The nearest `share` is
     taken by bins of the distance, and holds at least that share of the key's rows.
     """
-    params = scratch.cut(_start(rows))
+    params = scratch.cut(_start(rows, scratch))
     for _ in range(steps):
         near = with_distance(rows, params).withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-6) * 16))
-        cut = _cut_at(near.groupBy("key", "bin").agg(F.count("*").alias("n")), ["key"], "bin", share)
-        new = scratch.cut(_estimate(near.join(scratch.cut(cut), "key").where("bin <= cut"), CONSISTENT))
-        scratch.release(params)
+        counts = scratch.cut(near.groupBy("key", "bin").agg(F.count("*").alias("n")))  # by key and bin, before a key's bins meet
+        cut = scratch.cut(_cut_at(counts, ["key"], "bin", share))
+        new = scratch.cut(_estimate(near.join(cut, "key").where("bin <= cut"), CONSISTENT))
+        scratch.release(params, counts, cut)
         params = new
     return scratch.cut(_estimate(with_distance(rows, params).where(F.col("d2") <= REWEIGHT), REWEIGHTED))
 
