@@ -25,7 +25,7 @@ def propagate(linked: DataFrame, scratch: Scratch, shards: int, quota: float, ro
     """linked: at, g, size, h, shard. Moves documents between shards; no shard that isn't over its quota gets over it but by chance of the hashes."""
     state = scratch.cut(linked)
     for k in range(rounds):
-        blocks = state.groupBy("g", "shard").agg(F.sum("size").alias("b"))
+        blocks = scratch.cut(state.groupBy("g", "shard").agg(F.sum("size").alias("b")))  # by group and shard, before the groups meet
         load = {r["shard"]: float(r["b"]) for r in blocks.groupBy("shard").agg(F.sum("b").alias("b")).collect()}  # one row a shard
         # the fullest shard of the group, or as many of the fullest as a large group needs; equally full ones in the order of a hash
         order = F.sort_array(F.collect_list(F.struct("b", F.xxhash64("g", "shard").alias("tie"), "shard")), asc=False)  # one entry a shard at most
@@ -43,7 +43,7 @@ def propagate(linked: DataFrame, scratch: Scratch, shards: int, quota: float, ro
         luck = F.when(F.size("top") > 1, unit_hash("h", F.lit(k))).otherwise(unit_hash("g", "shard", F.lit(k)))
         joined = joined.select("at", "g", "size", "h", "shard", p.alias("p"), luck.alias("luck"))
         new = scratch.cut(joined.select("at", "g", "size", "h", F.when(F.col("p").isNotNull() & (F.col("luck") < _by_shard(share, shards)), F.col("p")).otherwise(F.col("shard")).alias("shard")))
-        scratch.release(state)
+        scratch.release(state, blocks)
         state = new
     return state
 
