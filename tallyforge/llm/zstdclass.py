@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bounds of the sample that a classifier is fitted on: labelled rows for each class and purpose, bytes of a text, bytes of a dictionary.
-SAMPLE_ROWS, SAMPLE_BYTES, DICT_BYTES = 1500, 4096, 65_536
+SAMPLE_ROWS, SAMPLE_BYTES, DICT_BYTES = 2000, 4096, 262_144
 #: Texts are compressed in pieces of so many bytes, each with a fresh dictionary; else a long text soon compresses by itself alone.
 PIECE = 1024
 
@@ -23,7 +23,11 @@ class Model:
     level: int = 3
 
     def difference(self):
-        """A function from UTF-8 bytes to (size with the bad dictionary - size with the good one) / their sum, over all pieces; 0 for no bytes."""
+        """A function from UTF-8 bytes to (size with the bad dictionary - size with the good one) / number of bytes, over all pieces; 0 for no bytes.
+
+        Divided by the bytes, not by the compressed sizes: text that repeats itself compresses to next to nothing either way, and so stays near 0.
+        """
+
         def sizer(d: bytes):
             kind = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_AUTO)
             kind.precompute_compress(level=self.level)
@@ -36,8 +40,7 @@ class Model:
             parts = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
             if not parts:
                 return 0.0
-            g, b = good(parts), bad(parts)
-            return (b - g) / (b + g)
+            return (bad(parts) - good(parts)) / len(data)
 
         return of
 
