@@ -66,7 +66,8 @@ def assign(docs: DataFrame, shards: int = 40, rounds: int = 5, group: str | None
     slim = scratch.cut(slim.withColumn("at", F.monotonically_increasing_id()).withColumn("h", F.xxhash64("doc_id", "g", "at")))
     total = slim.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     quota = total / shards
-    many = slim.where("g is not null").groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    # written before the join: a join with an aggregate by the same key can't be split where a group is large
+    many = scratch.cut(slim.where("g is not null").groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"))
     linked = slim.select("at", "g", "size", "h", F.pmod("h", F.lit(shards)).cast("int").alias("shard")).join(many, "g", "left_semi").select("at", "g", "size", "h", "shard")
     state = propagate(linked, scratch, shards, quota, rounds)
     load = {r["shard"]: float(r["b"]) for r in state.groupBy("shard").agg(F.sum("size").alias("b")).collect()}
