@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from .functions import money as M
 from .functions import text as T
 from .operators import analytics as A
+from .operators import answers as AN
 from .operators import categories as C
 from .operators import duplicates as D
 from .operators import evidence as E
 from .operators import filters as FL
 from .operators import guard as G
 from .operators import index as I
+from .operators import records as RC
 from .operators import retrieval as R
 from .operators import review as Q
 from .operators import telemetry as TM
@@ -365,3 +367,60 @@ def _guard_decisions(s) -> DataFrame:
 
 
 query("approval_predicate", "SELECT receipt_id FROM receipts WHERE lower(review_status) IN ('approved', 'accepted', 'complete', 'completed')", True)(lambda s, d: star_receipts(s, d).where(approved(F.col("review_status"))).select("receipt_id"))
+
+
+# Records and answers
+
+
+def _json(s, d):
+    """Orders as JSON of two generations: a wrapped total or a plain one, a new key (null for some) or an old one."""
+    k, t = F.col("o_orderkey"), F.col("o_totalprice").cast("string")
+    total = F.when(k % 2 == 0, F.concat(F.lit('{"grand_total": '), t, F.lit(', "currency": "EUR"}'))).otherwise(t)
+    day = F.when(k % 3 == 0, ', "issued": null, "date": "1999-01-01"').when(k % 3 == 1, ', "issued": "2001-02-03"').otherwise(', "date": "1999-01-01"')
+    return read(s, d, "orders").select("o_orderkey", F.parse_json(F.concat(F.lit('{"total": '), total, day, F.lit("}"))).alias("v"))
+
+
+query("two_generation_json", "SELECT o_orderkey, o_totalprice AS total, CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '2001-02-03' ELSE '1999-01-01' END AS day FROM orders")(
+    lambda s, d: _json(s, d).select("o_orderkey", RC.variant_number(F.try_variant_get("v", "$.total", "variant"), "grand_total").alias("total"), RC.either(F.col("v"), "$.issued", "$.date", "string").alias("day")))
+query("item_contract", "SELECT l_orderkey AS record_id, code, level, count(*) AS n FROM (SELECT l_orderkey, CASE WHEN l_linenumber = 7 THEN 'MISSING_PRICE' END AS code, 'warning' AS level FROM lineitem UNION ALL SELECT l_orderkey, CASE WHEN l_quantity < 3 THEN 'UNIT_WITHOUT_QUANTITY' END, 'warning' FROM lineitem UNION ALL SELECT l_orderkey, CASE WHEN l_linenumber <> 7 AND l_tax = 0.08 THEN 'NEGATIVE_PRICE' END, 'error' FROM lineitem) WHERE code IS NOT NULL GROUP BY ALL")(
+    lambda s, d: RC.item_contract(read(s, d, "lineitem").select(F.col("l_orderkey").alias("record_id"), F.col("l_linenumber").alias("item_index"), F.lit("x").alias("name"), F.when(F.col("l_quantity") >= 3, F.col("l_quantity")).alias("quantity"), F.lit("kg").alias("unit"), F.when(F.col("l_linenumber") != 7, F.when(F.col("l_tax") == 0.08, -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice"))).alias("price"))).groupBy("record_id", "code", "level").agg(F.count("*").alias("n")))
+query("assemble_answers", "SELECT conv_id AS record_id, arg_max(text, turn) FILTER (role = 'user') AS user, arg_max(text, turn) FILTER (role = 'assistant') AS assistant FROM conversations GROUP BY 1")(
+    lambda s, d: RC.assemble(read(s, d, "conversations").select(F.col("conv_id").alias("record_id"), F.col("role").alias("task"), F.col("text").alias("value"), F.col("turn").alias("seq")), ["user", "assistant"]))
+query("vat_line_checks", "WITH l AS (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS n, sum(CAST(round(CAST(l_extendedprice * 19 / 100 AS DECIMAL(18,6)), 2) AS DECIMAL(18,2))) AS v FROM lineitem GROUP BY 1) SELECT o_orderkey AS record_id, CASE WHEN v IS NOT NULL THEN true END AS rates, CASE WHEN v IS NOT NULL THEN o_orderkey % 5 <> 0 END AS sum FROM orders LEFT JOIN l ON o_orderkey = l_orderkey")(lambda s, d: _vat(s, d))
+
+
+def _vat(s, d) -> DataFrame:
+    lines = read(s, d, "lineitem").select(F.col("l_orderkey").alias("record_id"), F.lit(19.0).alias("rate"), F.col("l_extendedprice").alias("net"), F.round((F.col("l_extendedprice") * 19 / 100).cast("decimal(18,6)"), 2).cast("double").alias("vat"))
+    sums = lines.groupBy("record_id").agg(F.sum(F.col("vat").cast("decimal(18,2)")).alias("v"))
+    records = read(s, d, "orders").join(sums, F.col("o_orderkey") == F.col("record_id"), "left").select(F.col("o_orderkey").alias("record_id"), (F.col("v").cast("double") + F.when(F.col("o_orderkey") % 5 == 0, 1.0).otherwise(0.0)).alias("vat"), F.col("o_totalprice").alias("total"))
+    return RC.vat_checks(lines, records).select("record_id", "rates", "sum")
+
+
+query("semantic_or_metadata_change", "SELECT p_partkey AS record_id, CASE WHEN p_partkey % 10 = 0 THEN 'removed' WHEN p_partkey % 4 = 1 THEN 'semantic' WHEN p_partkey % 3 = 0 THEN 'metadata' ELSE 'same' END AS change FROM part")(lambda s, d: _changes(s, d))
+
+
+def _changes(s, d) -> DataFrame:
+    old = read(s, d, "part").select(F.col("p_partkey").alias("record_id"), F.lit(0).alias("item_index"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"))
+    k = F.col("record_id")
+    new = old.where(k % 10 != 0).select("record_id", "item_index", F.when(k % 4 == 1, F.concat("name", F.lit(" new"))).otherwise(F.col("name")).alias("name"), F.when(k % 3 == 0, F.col("price") + 1).otherwise(F.col("price")).alias("price"))
+    return RC.compare_items(old, new, ["name"], ["price"]).select("record_id", "change")
+
+
+query("number_format_de", "SELECT o_orderkey, replace(replace(replace(format('{:,.2f}', o_totalprice), ',', '#'), '.', ','), '#', '.') || ' EUR' AS written FROM orders")(lambda s, d: read(s, d, "orders").select("o_orderkey", AN.written_money(F.col("o_totalprice"), F.lit("EUR"), "de").alias("written")))
+query("candidate_records", "SELECT printf('c%03d', row_number() OVER (ORDER BY p_partkey)) AS candidate_id, p_name AS description, [p_partkey] AS item_ids, 1 AS occurrences FROM (SELECT * FROM part WHERE length(p_name) >= 3 ORDER BY p_partkey LIMIT 12)")(lambda s, d: AN.candidates(read(s, d, "part").select(F.col("p_partkey").alias("rank"), F.col("p_name").alias("description"), F.array("p_partkey", "p_partkey").alias("item_ids"))))
+query("decision_coverage", "SELECT 'c' || p_partkey AS candidate_id, CASE WHEN p_partkey % 7 = 0 THEN 'missing' ELSE 'duplicate' END AS fault FROM part WHERE p_partkey % 7 = 0 OR p_partkey % 11 = 0 UNION ALL SELECT 'z1', 'unknown'")(lambda s, d: _coverage(s, d))
+
+
+def _coverage(s, d) -> DataFrame:
+    k = F.col("p_partkey")
+    shown = read(s, d, "part").select(F.concat(F.lit("c"), k.cast("string")).alias("candidate_id"), k)
+    made = shown.where(k % 7 != 0).select("candidate_id", "p_partkey")
+    made = made.union(made.where(k % 11 == 0)).select("candidate_id").union(s.createDataFrame([("z1",)], "candidate_id string"))
+    return AN.coverage(made, shown)
+
+
+query("query_stage_summary", "SELECT user_id AS query_id, count(*) FILTER (n > 0 AND event_type = 'view') AS validations, count(*) FILTER (event_type = 'error') AS repairs, sum(n)::BIGINT AS stages FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1")(
+    lambda s, d: AN.query_events(read(s, d, "events").select(F.col("user_id").alias("query_id"), F.when(F.col("event_type") == "view", "validate_sql_attempt_1").when(F.col("event_type") == "error", "repair_sql_attempt_1").otherwise(F.col("event_type")).alias("name"), F.col("value").alias("duration_ms"))).select("query_id", "validations", "repairs", "stages"))
+query("prefix_search", "SELECT p_partkey AS doc_id, count(DISTINCT t) AS n FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part), (VALUES ('re'), ('bo')) q(t) WHERE starts_with(w, t) GROUP BY 1")(lambda s, d: AN.prefix_matches(R.postings(read(s, d, "part"), "p_partkey", "p_name"), AN.prefix_terms("re Bo x")))
+query("approval_blockers", "SELECT o_orderkey AS record_id, len(list_filter([CASE WHEN o_orderkey % 3 = 0 THEN 'a' END, CASE WHEN o_orderkey % 5 = 0 THEN 'b' END, CASE WHEN o_orderkey % 7 = 0 THEN 'c' END], lambda x: x IS NOT NULL))::INT AS n FROM orders")(
+    lambda s, d: RC.blockers(read(s, d, "orders").select(F.col("o_orderkey").alias("record_id"), F.when(F.col("o_orderkey") % 3 == 0, "n/a").otherwise("m").alias("merchant_name"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice")).alias("grand_total"), F.lit(1).alias("n_items"), F.array(F.when(F.col("o_orderkey") % 7 == 0, "critical").otherwise("low")).alias("severities"), F.array(F.lit("ITEM_SUM")).alias("codes"))).select("record_id", F.size("blocking").alias("n")))

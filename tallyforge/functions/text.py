@@ -22,7 +22,7 @@ SPELLED = {"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "&": " and ", "+": "
 MARKED, PLAIN = "áàâãåäçéèêëíìîïñóòôõöúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 
 
-def _normal(text: str) -> str:
+def normal_literal(text: str) -> str:
     """The same as normalize_text for a literal."""
     import re
 
@@ -66,7 +66,7 @@ def merchant_name(c: Column) -> Column:
     n = normalize_text(c)
     out = n
     for name, spellings in reversed(MERCHANTS.items()):
-        out = F.when(reduce(lambda a, b: a | b, [n.contains(_normal(s)) for s in spellings]), F.lit(name)).otherwise(out)
+        out = F.when(reduce(lambda a, b: a | b, [n.contains(normal_literal(s)) for s in spellings]), F.lit(name)).otherwise(out)
     return F.when(n != "", out)
 
 
@@ -75,7 +75,7 @@ def category_by_alias(c: Column, aliases: dict[str, list[str]]) -> Column:
     n = normalize_text(c)
     out = F.lit(None).cast("string")
     for name, words in reversed(aliases.items()):
-        out = F.when(reduce(lambda a, b: a | b, [n.contains(_normal(w)) for w in words]), F.lit(name)).otherwise(out)
+        out = F.when(reduce(lambda a, b: a | b, [n.contains(normal_literal(w)) for w in words]), F.lit(name)).otherwise(out)
     return out
 
 
@@ -122,7 +122,7 @@ def contains_tokens(text: Column, part: Column) -> Column:
 
 def lexical_relevance(query: str, name: Column) -> Column:
     """How well a product name fits the words of a query: whole-text matches, then the best match of each query word."""
-    q = _normal(query)
+    q = normal_literal(query)
     t = normalize_text(name)
     words = list(dict.fromkeys(q.split()))
     if not words:
