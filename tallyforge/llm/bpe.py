@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 #: Pieces of more bytes than this are merged with a heap instead: a matrix takes as many rounds as a row has merges.
 LONG_PIECE = 256
 #: The cache of pieces is emptied when it holds more than this; that only costs time.
@@ -231,6 +233,7 @@ def tokenize(docs: DataFrame, path: str, pattern: str, ids_column: bool = False,
     whatever their names; an empty table gives an empty result. A text of any length is encoded whole, within its own task.
     """
     fields = [T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    small_batches(docs.sparkSession)
     if ids_column:
         fields.append(T.StructField("ids", T.ArrayType(T.LongType())))
 

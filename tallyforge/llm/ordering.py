@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, small_batches
 
 #: Tokens of a sequence, records of a shard, and the id that fills up a document's last sequence (free in the 50,256 id vocabularies).
 LENGTH, RECORDS, PAD = 512, 4096, 50256
@@ -101,6 +101,7 @@ def materialise(docs: DataFrame, path: str, pattern: str, key: int = 1, length:
     folder of the shared scratch if not given). Spark's committer makes each shard appear whole or not at all. Repeated rows are sequences of their own; other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "ordering")
     made = scratch.cut(sequences(docs, path, pattern, length))
     sizes = sorted((r["pid"], r["n"]) for r in made.groupBy("pid").agg(F.count("*").alias("n")).collect())  # one row a task

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, components
+from .common import Scratch, components, small_batches, text_of
 
 BITS = 64
 #: A cell of more fingerprints than this isn't verified pair by pair: its members meet at midpoints instead, which is exact as well.
@@ -42,11 +42,11 @@ def fingerprint(text: str | None, width: int, seed: int) -> int:
 
 def with_fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, text_col: str = "text", name: str = "fp") -> DataFrame:
     """All columns of docs and a long column of fingerprints. A text without words, or null, has fingerprint 0."""
-    at = docs.columns.index(text_col)
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            fps = np.fromiter((fingerprint(x.as_py(), width, seed) for x in b.column(at)), "u8", b.num_rows).view("i8")
+            fps = np.fromiter((fingerprint(x.as_py(), width, seed) for x in text_of(b, text_col)), "u8", b.num_rows).view("i8")
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], [*b.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
@@ -242,8 +242,8 @@ def keep_one(docs: DataFrame, tau: int = 2, width: int = 3, seed: int = 42) -> D
     rows and null ids leave exactly one row a group. Columns may have any name: they travel in one struct.
     """
     scratch = Scratch(docs.sparkSession, "simhash-keep")
-    boxed = with_fingerprints(docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text")), width, seed)
-    whole = scratch.cut(boxed.select("row", "doc_id", "fp", F.monotonically_increasing_id().alias("at")))
+    boxed = with_fingerprints(docs.select(F.struct("*").alias("row")), width, seed, "row.text")
+    whole = scratch.cut(boxed.select("row", "row.doc_id", "fp", F.monotonically_increasing_id().alias("at")))
     slim = whole.select("doc_id", "fp", "at")
     found = groups(slim, scratch, tau).select("fp", "root")
     best = slim.join(found, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("best"))

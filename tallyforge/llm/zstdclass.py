@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches, text_of
+
 #: Bounds of the sample that a classifier is fitted on: labelled rows for each class and purpose, bytes of a text, bytes of a dictionary.
 SAMPLE_ROWS, SAMPLE_BYTES, DICT_BYTES = 2000, 4096, 262_144
 #: Texts are compressed in pieces of so many bytes, each with a fresh dictionary; else a long text soon compresses by itself alone.
@@ -54,14 +56,16 @@ def bucket(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> list[float]:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[float]:
+    """Intercept and slope (not below 0). The ridge, on the slope alone, keeps scores near the share of label 1 where there are few labels; thousands outweigh it."""
+    pull = np.diag([1e-6, ridge])
     scale = float(np.std(x)) or 1.0
     a = np.stack([np.ones_like(x), x / scale], 1)
     w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (p - y) + ridge * w
-        h = (a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(2)
+        g = a.T @ (p - y) + pull @ w
+        h = (a * (p * (1 - p))[:, None]).T @ a + pull
         step = np.linalg.solve(h, g)
         w -= step
         if np.abs(step).max() < 1e-9:
@@ -110,12 +114,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Model:
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """All columns of docs and a double column, 0 to 1. Only the whole text is an input; null counts as empty, and an empty text gets the score of no difference."""
-    at = docs.columns.index(text_col)
+    small_batches(docs.sparkSession)
 
     def run(batches):
         of = model.difference()
         for b in batches:
-            x = np.fromiter((of((t.as_py() or "").encode()) for t in b.column(at)), "f8", b.num_rows)
+            x = np.fromiter((of((t.as_py() or "").encode()) for t in text_of(b, text_col)), "f8", b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(x))], [*b.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
