@@ -12,18 +12,18 @@ ORACLE_SQL = None
 
 def _boxed(docs: DataFrame) -> DataFrame:
     """All columns in one struct, so that none clashes with a stage's own."""
-    return docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
+    return docs.select(F.struct("*").alias("row"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the compression classifier, fitted on this stage's documents with labels, predicts as good (score >= 0.7)."""
     model = zstdclass.fit(docs, table(spark, sf_dir, "labels"))
-    return zstdclass.with_score(_boxed(docs), model).where("score >= 0.7").select("row.*")
+    return zstdclass.with_score(_boxed(docs), model, "row.text").where("score >= 0.7").select("row.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters and those too far from every language's centroids."""
-    return langid.with_language(_boxed(docs), langid.fit(docs)).where("not lang_far").select("row.*")
+    return langid.with_language(_boxed(docs), langid.fit(docs), "row.text").where("not lang_far").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
