@@ -148,10 +148,11 @@ def _signed(x: int) -> int:
 def verify(values: np.ndarray, tau: int) -> list[tuple[int, int]]:
     """Edges that join the fingerprints of one cell which are linked by pairs within tau bits: one for each but the least of a component."""
     v = np.sort(values)
+    bits = v.view("u8")  # of a negative number numpy would count the bits of its absolute value
     label = np.arange(len(v))
     a, b = [], []
     for i in range(0, len(v), 512):
-        x, y = np.nonzero(np.bitwise_count(v[i : i + 512, None] ^ v[None, :]) <= tau)
+        x, y = np.nonzero(np.bitwise_count(bits[i : i + 512, None] ^ bits[None, :]) <= tau)
         keep = x + i < y
         a.append(x[keep] + i)
         b.append(y[keep])
