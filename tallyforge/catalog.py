@@ -11,10 +11,12 @@ from .operators import analytics as A
 from .operators import answers as AN
 from .operators import categories as C
 from .operators import duplicates as D
+from .operators import enrichment as EN
 from .operators import evidence as E
 from .operators import filters as FL
 from .operators import guard as G
 from .operators import index as I
+from .operators import patches as P
 from .operators import records as RC
 from .operators import retrieval as R
 from .operators import review as Q
@@ -424,3 +426,57 @@ query("query_stage_summary", "SELECT user_id AS query_id, count(*) FILTER (n > 0
 query("prefix_search", "SELECT p_partkey AS doc_id, count(DISTINCT t) AS n FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part), (VALUES ('re'), ('bo')) q(t) WHERE starts_with(w, t) GROUP BY 1")(lambda s, d: AN.prefix_matches(R.postings(read(s, d, "part"), "p_partkey", "p_name"), AN.prefix_terms("re Bo x")))
 query("approval_blockers", "SELECT o_orderkey AS record_id, len(list_filter([CASE WHEN o_orderkey % 3 = 0 THEN 'a' END, CASE WHEN o_orderkey % 5 = 0 THEN 'b' END, CASE WHEN o_orderkey % 7 = 0 THEN 'c' END], lambda x: x IS NOT NULL))::INT AS n FROM orders")(
     lambda s, d: RC.blockers(read(s, d, "orders").select(F.col("o_orderkey").alias("record_id"), F.when(F.col("o_orderkey") % 3 == 0, "n/a").otherwise("m").alias("merchant_name"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice")).alias("grand_total"), F.lit(1).alias("n_items"), F.array(F.when(F.col("o_orderkey") % 7 == 0, "critical").otherwise("low")).alias("severities"), F.array(F.lit("ITEM_SUM")).alias("codes"))).select("record_id", F.size("blocking").alias("n")))
+
+
+# Enrichment and patches
+
+_ALIASES = {"jewellery": ["Ring"], "hardware": ["bolt", "gear"]}
+query("infer_categories", "SELECT p_partkey, CASE WHEN p_name LIKE '%widget%' THEN 'a,b' ELSE concat_ws(',', CASE WHEN p_name LIKE '%ring%' THEN 'jewellery' END, CASE WHEN p_name LIKE '%bolt%' OR p_name LIKE '%gear%' THEN 'hardware' END) END AS categories FROM part")(
+    lambda s, d: read(s, d, "part").select("p_partkey", F.array_join(EN.infer_categories(F.col("p_name"), _ALIASES, [(["Widget"], ["a", "b"])]), ",").alias("categories")))
+query("valid_category", "SELECT p_partkey, CASE p_type WHEN 'PROMO' THEN 'promotion_item' WHEN 'ECONOMY' THEN 'economy_item' ELSE 'unknown' END AS category FROM part")(
+    lambda s, d: read(s, d, "part").select("p_partkey", EN.valid_category(F.concat("p_type", F.lit("-Item ")), ["promotion_item", "economy_item"], {"promo_item": "promotion_item"}).alias("category")))
+query("item_embedding_text", "SELECT p_partkey, 'Merchant: ' || p_brand || chr(10) || 'Date: unknown' || chr(10) || 'Product item: ' || p_name || chr(10) || 'Raw item: unknown' || chr(10) || 'Normalized item: unknown' || chr(10) || 'Line note: none' || chr(10) || 'Category: ' || CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE 'unknown' END || chr(10) || 'Semantic description: none' || chr(10) || 'Parser row type: unknown' || chr(10) || 'Original price: unknown' || chr(10) || 'Discount amount: unknown' || chr(10) || 'Tax code: unknown' || chr(10) || 'Aliases: x, y' || chr(10) || 'Price: ' || p_size AS text FROM part")(
+    lambda s, d: read(s, d, "part").select("p_partkey", EN.embedding_text({"Merchant": F.col("p_brand"), "Product item": F.col("p_name"), "Category": F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).otherwise(""), "Price": F.col("p_size")}, F.array(F.lit("x"), F.lit("y"))).alias("text")))
+query("category_overlay", "SELECT p_partkey AS record_id, 0 AS item_index, p_name AS name, CASE WHEN p_partkey % 3 = 0 THEN p_type WHEN p_partkey % 3 = 2 THEN 'old' END AS category_key FROM part")(lambda s, d: _overlay(s, d))
+query("category_counts", "SELECT l_orderkey AS record_id, count(*) AS n_items, count(*) FILTER (l_returnflag IN ('A', 'N')) AS categorised, count(*) FILTER (l_quantity > 40) AS to_review FROM lineitem GROUP BY 1")(
+    lambda s, d: EN.category_counts(read(s, d, "lineitem").select(F.col("l_orderkey").alias("record_id"), F.when(F.col("l_returnflag").isin("A", "N"), "food").otherwise(" Unknown").alias("category_key"), F.when(F.col("l_quantity") > 40, True).alias("review_required"))))
+query("search_fallback", "SELECT p_partkey AS doc_id, 0.35::DOUBLE AS score, 'fallback' AS path FROM part WHERE contains(p_name, 'idge') ORDER BY p_partkey LIMIT 25")(lambda s, d: EN.search(read(s, d, "part"), "p_partkey", "p_name", "idge"))
+query("alias_seed", "WITH c AS (SELECT lower(r_name) AS alias, r_name AS name FROM region), n AS (SELECT trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')) AS alias, min(n_name) AS name FROM nation GROUP BY 1) SELECT * FROM c UNION ALL SELECT * FROM n WHERE alias NOT IN (SELECT alias FROM c)")(
+    lambda s, d: EN.seed_aliases(read(s, d, "region").select(F.lower("r_name").alias("alias"), F.col("r_name").alias("name")), read(s, d, "nation").select(F.col("n_name").alias("alias"), F.col("n_name").alias("name"))))
+query("supported_discount", "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS discount FROM orders")(lambda s, d: _discounts(s, d))
+query("final_total_patches", "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN '/totals/final_purchase_total/final_purchase_total' ELSE '/totals/final_purchase_total' END AS path, o_totalprice AS amount FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 3 = 0")(lambda s, d: _total_patches(s, d))
+query("json_patches", "SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 WHEN 2 THEN 'invalid' WHEN 3 THEN 'unchanged' ELSE 'patched' END AS status, CASE WHEN o_orderkey % 4 = 0 THEN 7.5 ELSE o_totalprice END AS total, CASE WHEN o_orderkey % 4 = 1 THEN 1 ELSE 3 END AS n_items FROM orders")(lambda s, d: _json_patches(s, d))
+
+
+def _overlay(s, d) -> DataFrame:
+    k = F.col("p_partkey")
+    items = read(s, d, "part").select(k.alias("record_id"), F.lit(0).alias("item_index"), F.col("p_name").alias("name"), F.lit("old").alias("category_key"))
+    new = read(s, d, "part").where(k % 3 != 2).select(k.alias("record_id"), F.lit(0).alias("item_index"), F.lit("other").alias("name"), F.when(k % 3 == 0, F.col("p_type")).alias("category_key"))
+    return EN.overlay(items, new, ["category_key"])
+
+
+def _discounts(s, d) -> DataFrame:
+    k, printed = F.col("o_orderkey"), F.format_string("%.2f", "o_totalprice")
+    line = F.when(k % 3 == 0, F.concat(F.lit("Rabatt gesamt -"), printed)).when(k % 3 == 1, F.concat(F.lit("Summe "), printed)).otherwise("Rabatt gesamt 0,01")
+    orders = read(s, d, "orders")
+    return EN.supported_discount(orders.select(k.alias("doc_id"), F.col("o_totalprice").alias("discount")), orders.select(k.alias("doc_id"), line.alias("line")), "(?i)rabatt")
+
+
+def _total_patches(s, d) -> DataFrame:
+    k = F.col("o_orderkey")
+    orders = read(s, d, "orders")
+    answers = orders.select(k.alias("doc_id"), F.when(k % 5 == 0, "missing").otherwise("resolved").alias("status"), F.format_string("EUR %.2f", "o_totalprice").alias("value_text"), F.lit("R0001").alias("label_row"), F.lit("R0002").alias("source_row"))
+    records = orders.select(k.alias("doc_id"), (F.col("o_totalprice") + F.when(k % 3 == 0, 1).otherwise(0)).alias("total"), F.lit("EUR").alias("currency"), (k % 2 == 0).alias("wrapped"))
+    amount = F.coalesce(F.get_json_object("value", "$.final_purchase_total"), F.col("value")).cast("double")
+    return P.total_patches(answers, records).select("doc_id", "path", amount.alias("amount"))
+
+
+def _json_patches(s, d) -> DataFrame:
+    k, orders = F.col("o_orderkey"), read(s, d, "orders")
+    docs = orders.select(k.alias("doc_id"), F.concat(F.lit('{"totals": {"final": '), F.col("o_totalprice").cast("string"), F.lit('}, "items": [1, 2, 3]}')).alias("json"))
+    patch = orders.where(k % 4 != 3).select(
+        k.alias("doc_id"), F.lit(0).alias("patch_no"), F.when(k % 4 == 1, "remove_array_elements").otherwise("replace_value").alias("op"),
+        F.when(k % 4 == 0, "/totals/final").when(k % 4 == 1, "/items").otherwise("/totals/other").alias("path"), F.lit(None).cast("int").alias("index"),
+        F.when(k % 4 == 1, F.array(F.lit(2), F.lit(0))).alias("indices"), F.lit("7.5").alias("value"), F.lit("printed").alias("reason"))
+    done = P.apply_patches(docs, patch, P.Target(P.OPERATIONS, ["/totals/final"], ["/items"]))
+    return done.select("doc_id", "status", F.get_json_object("json", "$.totals.final").cast("double").alias("total"), F.size(F.from_json(F.get_json_object("json", "$.items"), "array<int>")).alias("n_items"))
