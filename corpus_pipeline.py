@@ -3,7 +3,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, langid, mixing, simhash, zstdclass
+from tallyforge.llm import bpe, langid, mixing, similar, zstdclass
 from tallyforge.llm.common import Scratch, table
 
 #: SQL can't express the stages; tests/llm holds each against brute force or held-out labels.
@@ -27,8 +27,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of SimHash near-duplicates."""
-    return simhash.keep_one(docs)
+    """Keeps one document of each group linked by Jaccard similarities of 0.8 or more over shingles of five words."""
+    return similar.keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
