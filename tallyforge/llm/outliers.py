@@ -12,14 +12,14 @@ from .common import SPACES, Scratch
 SPACE_CHARS = " \t\n\u000b\f\r"
 SYMBOLS = "[#*$%&|<>]"
 #: Share of a group that an estimate is made of, concentration steps, and the least documents of a group with an estimate of its own.
-SHARE, STEPS, LEAST = 0.75, 4, 50
+SHARE, STEPS, LEAST = 0.5, 4, 50
 #: Least standard deviation of each transformed statistic: what varies less than this isn't told apart.
 FLOOR = {"x_words": 0.25, "x_length": 0.025, "x_symbols": 0.1, "x_lines": 0.06, "x_repeat": 0.08}
 NAMES = list(FLOOR)
 #: Squared Mahalanobis distance from which on a document is rejected, and that of the reweighting step (0.975 of chi-squared with 5 degrees of freedom).
 CUT, REWEIGHT = 100.0, 12.83
-#: What the covariance of the nearest 0.75, or of those within REWEIGHT, of a normal sample in 5 dimensions must be multiplied by.
-CONSISTENT, REWEIGHTED = 1.41, 1.055
+#: What the covariance of the nearest half, or of those within REWEIGHT, of a normal sample in 5 dimensions must be multiplied by.
+CONSISTENT, REWEIGHTED = 1.912, 1.055
 
 
 def _let(value: Column, body) -> Column:
@@ -85,18 +85,20 @@ def transformed(stats: DataFrame) -> DataFrame:
 
 
 def _cut_at(counts: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
-    """The least value of each key at which the counts up to it reach that share of all. counts: one row for each key and value, few values a key."""
+    """The least value of each key at which the counts up to it reach that share of all, and the part of that value's count which the share needs. counts: one row for each key and value, few values a key."""
     from pyspark.sql import Window as W
 
     every, upto = W.partitionBy(*keys), W.partitionBy(*keys).orderBy(value)
-    c = counts.select(*keys, value, F.sum("n").over(upto).alias("upto"), F.sum("n").over(every).alias("total"))
-    return c.where(F.col("upto") >= F.ceil(F.col("total") * F.lit(share))).groupBy(*keys).agg(F.min(value).alias("cut"))
+    c = counts.select(*keys, value, "n", F.sum("n").over(upto).alias("upto"), F.sum("n").over(every).alias("total"))
+    need = F.ceil(F.col("total") * F.lit(share))
+    part = (need - F.col("upto") + F.col("n")) / F.col("n")
+    return c.where(F.col("upto") >= need).groupBy(*keys).agg(F.min(F.struct(value, part.alias("part"))).alias("at")).select(*keys, F.col(f"at.{value}").alias("cut"), "at.part")
 
 
 def _start(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """Medians and scales (from quartiles) of each key, from histograms of bins of 1/256: key, m0.., l00.. (a diagonal matrix)."""
     long_ = scratch.cut(rows.select("key", F.posexplode(F.array(*NAMES)).alias("dim", "x")).groupBy("key", "dim", F.round(F.col("x") * 256).alias("bin")).agg(F.count("*").alias("n")))
-    q = [_cut_at(long_, ["key", "dim"], "bin", s).withColumnRenamed("cut", f"q{i}") for i, s in enumerate((0.25, 0.5, 0.75))]
+    q = [_cut_at(long_, ["key", "dim"], "bin", s).drop("part").withColumnRenamed("cut", f"q{i}") for i, s in enumerate((0.25, 0.5, 0.75))]
     at = q[0].join(q[1], ["key", "dim"]).join(q[2], ["key", "dim"])
     out = []
     for i, name in enumerate(NAMES):
@@ -127,11 +129,11 @@ def with_distance(rows: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def _estimate(rows: DataFrame, factor: float) -> DataFrame:
-    """Mean and Cholesky factor of the covariance (times factor, and with the squared floors added to its diagonal) of each key."""
+    """Mean and Cholesky factor of the covariance (times factor, and with the squared floors added to its diagonal) of each key. A row counts as much as its column w."""
     p = len(NAMES)
     # moments about the key's first centre keep their digits; a plain sum of squares of these small numbers has enough of them
-    aggs = [F.count("*").alias("n")] + [F.sum(a).alias(f"s{i}") for i, a in enumerate(NAMES)]
-    aggs += [F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"s{i}{j}") for i in range(p) for j in range(i + 1)]
+    aggs = [F.sum("w").alias("n")] + [F.sum(F.col("w") * F.col(a)).alias(f"s{i}") for i, a in enumerate(NAMES)]
+    aggs += [F.sum(F.col("w") * F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"s{i}{j}") for i in range(p) for j in range(i + 1)]
     g = rows.groupBy("key").agg(*aggs)
     g = g.select("key", "n", *[F.round(F.col(f"s{i}") / F.col("n"), 9).alias(f"m{i}") for i in range(p)], *[(F.col(f"s{i}{j}") / F.col("n")).alias(f"e{i}{j}") for i in range(p) for j in range(i + 1)])
     g = g.select("key", "n", *[f"m{i}" for i in range(p)], *[F.round((F.col(f"e{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * factor + (FLOOR[NAMES[i]] ** 2 if i == j else 0.0), 9).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)])
@@ -149,17 +151,18 @@ def mcd(rows: DataFrame, scratch: Scratch, share: float = SHARE, steps: int = ST
     """Minimum-covariance-determinant estimates of each key of rows (key and the transformed statistics), reweighted: key, m0.., l00..
 
     Concentration steps lower the determinant each; they start at medians and quartiles, so they are the same in every run. The nearest `share` is
-    taken by bins of the distance, and holds at least that share of the key's rows.
+    taken by bins of the distance; of the last bin each row counts in part, so that a bin full of copies doesn't enter whole.
     """
     params = scratch.cut(_start(rows, scratch))
     for _ in range(steps):
         near = with_distance(rows, params).withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-6) * 16))
         counts = scratch.cut(near.groupBy("key", "bin").agg(F.count("*").alias("n")))  # by key and bin, before a key's bins meet
         cut = scratch.cut(_cut_at(counts, ["key"], "bin", share))
-        new = scratch.cut(_estimate(near.join(cut, "key").where("bin <= cut"), CONSISTENT))
+        held = near.join(cut, "key").where("bin <= cut").withColumn("w", F.when(F.col("bin") == F.col("cut"), F.col("part")).otherwise(F.lit(1.0)))
+        new = scratch.cut(_estimate(held, CONSISTENT))
         scratch.release(params, counts, cut)
         params = new
-    return scratch.cut(_estimate(with_distance(rows, params).where(F.col("d2") <= REWEIGHT), REWEIGHTED))
+    return scratch.cut(_estimate(with_distance(rows, params).where(F.col("d2") <= REWEIGHT).withColumn("w", F.lit(1.0)), REWEIGHTED))
 
 
 def judge(docs: DataFrame, cut: float = CUT, least: int = LEAST) -> DataFrame:

@@ -268,6 +268,20 @@ def test_outliers_are_rejected(spark):
     assert sum(r["kept"] for r in good) >= 0.99 * len(good)
 
 
+@pytest.mark.parametrize("kind", ["copies", "scattered"])
+def test_a_third_of_junk_does_not_mask_itself(spark, kind):
+    rng = random.Random(5)
+    vocabulary = [a + b for a in WORDS for b in WORDS]
+    junk = lambda: " ".join(x + "%%&&" for x in rng.choices(vocabulary, k=rng.randint(80, 120)))
+    one = junk()
+    rows = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(60, 400))), "en", "a") for i in range(200)]
+    rows += [(1000 + i, one if kind == "copies" else junk(), "en", "a") for i in range(100)]
+    got = {r["doc_id"]: r for r in outliers.judge(documents(spark, rows)).collect()}
+    assert not any(got[1000 + i]["kept"] for i in range(100))
+    good = [got[i] for i in range(200) if not got[i]["base_failed"]]
+    assert sum(r["kept"] for r in good) >= 0.99 * len(good)
+
+
 # op7
 
 
