@@ -29,17 +29,6 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
-#: Rows that Spark hands to Python at once where the session has its default of 10,000: documents are long.
-ARROW_ROWS = 500
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batch size if it is the default, so that a batch of long texts fits the memory of a worker."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(ARROW_ROWS))
-
-
 def text_of(batch: pa.RecordBatch, path: str) -> pa.Array:
     """The column at a path like text or row.text."""
     first, *rest = path.split(".")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, text_of
+from .common import text_of
 
 #: Hashed n-gram dimensions, centroids of a language, and the bounds of the training sample: rows of a language (about) and rows in all.
 DIMS, CENTROIDS, SAMPLE_ROWS, SAMPLE_ALL = 1 << 13, 4, 400, 20_000
@@ -103,7 +103,6 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_ROWS, most: int = SAMPLE_ALL) ->
     The sample: of each language about per_lang rows, those with the least hashes of doc_id and text, `most` rows in all. Their count vectors are made
     by tasks from whole texts; only sparse vectors come to the driver, where the centroids are clustered.
     """
-    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", "lang").where((bucket() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)  # so its broadcast is bounded, and no text is shuffled
     h = F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double") / float(1 << 53)
@@ -157,7 +156,6 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text", prefix:
 
     A text that is null or has no letter gets `und`, score 0, far. Ties go to the language that comes first by code point.
     """
-    small_batches(docs.sparkSession)
     fields = [T.StructField(f"{prefix}pred", T.StringType()), T.StructField(f"{prefix}score", T.DoubleType()), T.StructField(f"{prefix}far", T.BooleanType())]
 
     def run(batches):

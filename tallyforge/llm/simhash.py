@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, components, small_batches, text_of
+from .common import Scratch, components, text_of
 
 BITS = 64
 #: A cell of more fingerprints than this isn't verified pair by pair: its members meet at midpoints instead, which is exact as well.
@@ -42,7 +42,6 @@ def fingerprint(text: str | None, width: int, seed: int) -> int:
 
 def with_fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, text_col: str = "text", name: str = "fp") -> DataFrame:
     """All columns of docs and a long column of fingerprints. A text without words, or null, has fingerprint 0."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:

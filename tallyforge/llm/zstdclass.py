@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, text_of
+from .common import text_of
 
 #: Bounds of the sample that a classifier is fitted on: labelled rows for each class and purpose, bytes of a text, bytes of a dictionary.
 SAMPLE_ROWS, SAMPLE_BYTES, DICT_BYTES = 2000, 4096, 262_144
@@ -23,6 +23,7 @@ class Model:
     bad: bytes
     weights: list[float]
     level: int = 3
+    fitted: bool = False
 
     def difference(self):
         """A function from UTF-8 bytes to (size with the bad dictionary - size with the good one) / number of bytes, over all pieces; 0 for no bytes.
@@ -108,13 +109,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Model:
         of = model.difference()
         x = np.array([of(t) for q in (0, 1) for t in data[q, 1]])
         y = np.array([q for q in (0, 1) for _ in data[q, 1]], float)
-        model.weights = _logistic(x, y)
+        model.weights, model.fitted = _logistic(x, y), True
     return model
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """All columns of docs and a double column, 0 to 1. Only the whole text is an input; null counts as empty, and an empty text gets the score of no difference."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         of = model.difference()

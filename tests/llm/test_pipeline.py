@@ -3,11 +3,19 @@ import os
 import subprocess
 import sys
 
+from collections import Counter
+
 import corpus_pipeline
 import duckdb
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
 
+from tallyforge.llm import bpe
 from tallyforge.llm.queries import ORACLES, QUERIES
 
+from .test_operators import ODD, documents
+
 DATA = "/root/testdata/sf0.001"
 
 
@@ -27,6 +35,27 @@ def test_stages(spark):
     assert seen[0] > seen[1] >= seen[2] > seen[3] and seen[4] == seen[5] > 0
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empties, repeated rows and clashing columns pass through every stage; without labels or languages nothing is dropped for lack of a model."""
+    docs = documents(spark, ODD)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    with pytest.warns(UserWarning, match="quality"):
+        assert sorted(map(str, corpus_pipeline.quality(spark, docs, str(tmp_path)).collect())) == sorted(map(str, docs.collect()))
+    unknown = docs.withColumn("lang", F.lit(None).cast("string"))
+    with pytest.warns(UserWarning, match="language"):
+        assert corpus_pipeline.language(spark, unknown, "").count() == len(ODD)
+    mixed = corpus_pipeline.mix(spark, docs, "")
+    assert mixed.columns == docs.columns
+    got = corpus_pipeline.tokens(spark, docs, "").collect()
+    assert len(got) == len(ODD)
+    want = Counter((d, lang, source, len(t or "")) for d, t, lang, source in ODD)
+    import tiktoken
+
+    enc = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    assert Counter((r["doc_id"], r["lang"], r["source"], len(enc.decode(r["ids"]))) for r in got) == want
+    assert all(r["n_tokens"] == len(r["ids"]) for r in got)
+
+
 def test_vectors_against_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS FROM '{DATA}/embeddings.parquet'")
