@@ -2,12 +2,12 @@
 
 A text is split by the tokenizer's pattern; each match ("piece") is encoded by itself, as the merge ranks say. Pieces are grouped by
 length into padded matrices of ids, and in each round every row merges its leftmost pair of least rank: the ranks of all neighbouring
-pairs come from a hash table of pairs in numpy arrays, and the matrix is compacted after the merge. Pieces seen before come from a
+pairs come from a hash table of pairs in numpy arrays, and the matrix is compacted after the merge. A long piece is cut into segments, which are rows of
+the same matrices; its segments are then joined two by two, again by matrices over the tokens around each seam. Pieces seen before come from a
 cache of bounded size, so a piece costs its merges once for each time the cache is filled.
 """
 import base64
 import hashlib
-import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
-#: Pieces of more bytes than this are merged with a heap instead: a matrix takes as many rounds as a row has merges.
-LONG_PIECE = 256
+#: Bytes of a segment of a long piece, tokens on each side of a seam that are merged anew at first, and bytes from which on a row is a matrix by itself.
+SEGMENT, SEAM, WIDE = 256, 4, 1024
 #: The cache of pieces is emptied when it holds more than this; that only costs time.
 CACHE_PIECES = 300_000
 NONE = np.int32(2**31 - 1)
@@ -62,6 +62,9 @@ class Bpe:
                         keys.append(left * self.size + right)
                         ranks.append(rank)
         keys, ranks = np.array(keys, "i8"), np.array(ranks, "i4")
+        self.least = np.full(self.size, NONE, "i4")  # of each token: the least rank of a pair that it is part of
+        np.minimum.at(self.least, keys // self.size, ranks)
+        np.minimum.at(self.least, keys % self.size, ranks)
         bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 4))))
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.slot_key, self.slot_rank, self.probes = np.full(1 << bits, -1, "i8"), np.full(1 << bits, NONE, "i4"), 0
@@ -129,35 +132,31 @@ class Bpe:
                 ids = np.concatenate([ids, np.full((len(ids), 1), -1, "i4")], 1)
             rank = self.pair_ranks(ids[:, :-1], ids[:, 1:])
 
-    def _long(self, piece: bytes) -> np.ndarray:
-        """The same merges with a heap over a linked list, for pieces of any length."""
-        n, get, tok = len(piece), self.ranks.get, self.bytes_of
-        ids = [int(self.byte_id[b]) for b in piece]
-        after, before, live = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if not live[i] or j >= n or ids[i] != a or ids[j] != b:
-                continue
-            ids[i], live[j], after[i] = r, False, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (q := get(tok[ids[x]] + tok[ids[y]])) is not None:
-                    heapq.heappush(heap, (q, x, ids[x], ids[y]))
-        return np.array([ids[i] for i in range(n) if live[i]], "u4")
+    def _wide(self, piece: bytes) -> np.ndarray:
+        """One row of any length. Where no pair with the new token comes before it, all rounds that merge the same least pair are done at once."""
+        ids = self.byte_id[np.frombuffer(piece, "u1")]
+        while len(ids) > 1:
+            rank = self.pair_ranks(ids[:-1], ids[1:])
+            low = int(rank.min())
+            if low == NONE:
+                break
+            at = np.flatnonzero(rank == low)
+            if self.least[low] > low:
+                order = np.arange(len(at))
+                first = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) > 1, order, 0))
+                at = at[(order - first) % 2 == 0]  # of pairs that overlap every other one, from the left
+            else:
+                at = at[:1]
+            ids[at] = low
+            ids = np.delete(ids, at + 1)
+        return ids.astype("u4")
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
+    def _merge(self, pieces: list[bytes]) -> list[np.ndarray]:
         out: list[np.ndarray] = [None] * len(pieces)
         buckets: dict[int, list[int]] = {}
         for k, p in enumerate(pieces):
-            whole = self.ranks.get(p)
-            if whole is not None:
-                out[k] = np.array([whole], "u4")
-            elif len(p) > LONG_PIECE:
-                out[k] = self._long(p)
+            if len(p) > WIDE:
+                out[k] = self._wide(p)
             else:
                 buckets.setdefault(max(4, 1 << (len(p) - 1).bit_length()) if len(p) > 16 else (len(p) + 1) // 2 * 2, []).append(k)
         for width, ks in buckets.items():
@@ -168,6 +167,51 @@ class Bpe:
                     out[k] = ids
         return out
 
+    def _joined(self, pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """The encoding of each left and right together. A sequence of tokens is the encoding of its bytes if each two neighbours are that of theirs, so only the
+        tokens around the seam change: they are merged anew, more of them until the outermost ones stay as they were."""
+        out: list[np.ndarray] = [None] * len(pairs)
+        todo, n = list(range(len(pairs))), SEAM
+        while todo:
+            coded = self._merge([self.decode(np.concatenate([pairs[k][0][-n:], pairs[k][1][:n]])) for k in todo])
+            again = []
+            for k, ids in zip(todo, coded, strict=True):
+                left, right = pairs[k]
+                if (len(left) <= n or ids[0] == left[-n]) and (len(right) <= n or ids[-1] == right[n - 1]):
+                    out[k] = np.concatenate([left[:-n], ids, right[n:]])
+                else:
+                    again.append(k)
+            todo, n = again, 2 * n
+        return out
+
+    def _long(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """Pieces of more than SEGMENT bytes."""
+        cut = [[p[i : i + SEGMENT] for i in range(0, len(p), SEGMENT)] for p in pieces]
+        coded = iter(self._merge([x for parts in cut for x in parts]))
+        rows = [[next(coded) for _ in parts] for parts in cut]
+        while any(len(r) > 1 for r in rows):
+            seams = [(k, i) for k, r in enumerate(rows) for i in range(0, len(r) - 1, 2)]
+            joined = self._joined([(rows[k][i], rows[k][i + 1]) for k, i in seams])
+            new: list[list[np.ndarray]] = [[] for _ in rows]
+            for (k, _), ids in zip(seams, joined, strict=True):
+                new[k].append(ids)
+            rows = [a + (r[-1:] if len(r) % 2 else []) for a, r in zip(new, rows, strict=True)]
+        return [r[0] for r in rows]
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
+        out: list[np.ndarray] = [None] * len(pieces)
+        short, long_ = [], []
+        for k, p in enumerate(pieces):
+            whole = self.ranks.get(p)
+            if whole is not None:
+                out[k] = np.array([whole], "u4")
+            else:
+                (long_ if len(p) > SEGMENT else short).append(k)
+        for ks, coded in ((short, self._merge([pieces[k] for k in short])), (long_, self._long([pieces[k] for k in long_]))):
+            for k, ids in zip(ks, coded, strict=True):
+                out[k] = ids
+        return out
+
     def _learn(self, pieces: list[str]) -> None:
         """Puts new pieces into the cache."""
         coded = self.encode_pieces([p.encode() for p in pieces])
