@@ -2,187 +2,170 @@
 
 Document d of source s gets the rate r = min(most, exp(lambda_s * size_d / mean size of s)): of all rates with the source's token target
 those nearest to 1 in relative entropy, under the bound. lambda solves the convex dual, by Newton steps kept inside a bracket; every step
-is one distributed sum. Rates become whole copies: the whole part, and one more for the documents whose hash, over the rest of the
-rate, is least, up to the place where the source's words come nearest to the target.
+is one distributed sum for all sources that aren't solved yet. Rates become whole copies: the whole part, and one more for the documents whose hash, over the rest of the
+rate, is least, up to the place where the source's words reach the target; what a long document leaves open there is filled with shorter ones.
+
+Sources stay in tables, as many as there may be; the driver sees sums and counts only.
 """
 import math
-from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, n_words, unit_hash
-
-#: Sources are ranked and solved on the driver: more of them than this is an error.
-MAX_SOURCES = 100_000
-
-
-@dataclass
-class Source:
-    source: str | None
-    size: int
-    docs: int
-    target: float = 0.0
-    tilt: float = 0.0
-    limits: list[tuple[float, float]] = field(default_factory=list)
-
-
-def targets(sources: list[Source], weights: list[float], most: float) -> None:
-    """Weights go round the sources in code point order, null last; no target passes `most` times its source's size, what is over is dealt again by weight."""
-    ranked = sorted(sources, key=lambda s: (s.source is None, (s.source or "").encode()))
-    weight = {id(s): weights[i % len(weights)] for i, s in enumerate(ranked)}
-    rest, free = float(sum(s.size for s in ranked)), [s for s in ranked if s.size > 0]
-    while free:
-        each = rest / sum(weight[id(s)] for s in free)
-        over = [s for s in free if weight[id(s)] * each > most * s.size]
-        if not over:
-            for s in free:
-                s.target = weight[id(s)] * each
-            return
-        for s in over:
-            s.target = float(most * s.size)
-        rest -= sum(s.target for s in over)
-        free = [s for s in free if s not in over]
-
-
-def _rate(tilt: Column, size: Column, mean: Column, most: float) -> Column:
-    return F.when(tilt.isNull() | (size <= 0), 1.0).otherwise(F.least(F.lit(float(most)), F.exp(F.least(tilt * size / mean, F.lit(math.log(most) + 1)))))
-
-
-def solve(sizes: DataFrame, sources: list[Source], most: float, rounds: int = 60) -> None:
-    """Sets the sources' tilts. sizes: source, size, n (documents of that size)."""
-    spark = sizes.sparkSession
-    big = 60.0
-    state = {s.source: [-big * 50, big * 50, math.log(max(s.target, 1e-9) / s.size)] for s in sources if s.size and 0 < s.target < most * s.size * (1 - 1e-12)}
-    by = {s.source: s for s in sources}
-    for s in sources:
-        s.tilt = big * 1e3 if s.size and s.target >= most * s.size * (1 - 1e-12) else -big * 1e3 if s.target <= 0 and s.size else 0.0
-    exact = lambda c: F.sum(c.cast("decimal(38,12)")).cast("double")  # noqa: E731  the same whatever the order
-    for _ in range(rounds):
-        if not state:
+from .common import Scratch, n_words, running, unit_hash
+
+WEIGHTS = [1.0, 2.0, 3.0]
+#: A source is solved when its expected words are within this share of the target, and filled when its whole copies are.
+EXACT, NEAR = 1e-7, 0.001
+#: Newton and bisection steps need about 10, at worst some 70 to halve the bracket down to nothing. More is an error.
+ROUNDS = 200
+#: Bounds of lambda; beyond them every rate is 0 or the most.
+FAR = 3000.0
+#: Rows that a task sorts, about.
+TASK_ROWS = 200_000
+
+
+def sid() -> Column:
+    """A name for the source that isn't null."""
+    return F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
+
+
+def _tasks(df: DataFrame) -> int:
+    return max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // TASK_ROWS + 1))  # of a written table
+
+
+def targets(sources: DataFrame, scratch: Scratch, weights: list[float], most: float) -> DataFrame:
+    """Adds target to sources (sid, source, size, docs). Weights go round the sources in code point order, null last; no target passes `most` times its
+    source's size, what is over is dealt again by weight until none is above."""
+    ranked = running(sources.select("*", F.col("source").isNull().alias("last"), F.lit(1).cast("long").alias("one")), ["last", "source"], "one", scratch, _tasks(sources))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("before") % len(weights) + 1).cast("int"))
+    ranked = scratch.cut(ranked.select("sid", "size", "docs", weight.alias("weight")))
+    total = ranked.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    each, capped = 0.0, -1
+    while True:  # the level rises and so more sources are at their bound, until none is added
+        over = F.col("weight") * F.lit(each) > F.col("size") * F.lit(float(most))
+        over = over | (F.col("size") == 0)
+        n, held, free = ranked.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, F.col("size"))), F.lit(0)), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0.0))).first()
+        if n == capped or free <= 0:
             break
-        now = spark.createDataFrame([(k, v[2], by[k].size / by[k].docs) for k, v in state.items()], "source string, tilt double, mean double")
-        x = F.col("size") / F.col("mean")
-        rate = _rate(F.col("tilt"), F.col("size"), F.col("mean"), most)
+        each, capped = (total - float(most) * held) / free, n
+    return ranked.select("sid", "size", "docs", F.least(F.col("weight") * F.lit(each), F.col("size") * F.lit(float(most))).alias("target"))
+
+
+def _rate(most: float) -> Column:
+    """Of a document with the columns size, tilt and mean (of its source)."""
+    x = F.least(F.col("tilt") * F.col("size") / F.col("mean"), F.lit(math.log(most) + 1))
+    return F.when(F.col("tilt").isNull() | (F.col("size") <= 0), 1.0).otherwise(F.least(F.lit(float(most)), F.exp(x)))
+
+
+def solve(sizes: DataFrame, sources: DataFrame, scratch: Scratch, most: float) -> DataFrame:
+    """Adds mean and tilt (lambda) to sources (sid, size, docs, target). sizes: sid, size, n (documents of that size). Raises if a source isn't solved after ROUNDS steps."""
+    size, target = F.col("size"), F.col("target")
+    full, none = target >= size * F.lit(most * (1 - 1e-12)), target <= 0
+    begin = F.when(size == 0, 0.0).when(none, F.lit(-20 * FAR)).when(full, F.lit(20 * FAR)).otherwise(F.log(F.greatest(target, F.lit(1e-300)) / F.greatest(size, F.lit(1))))
+    state = sources.select("sid", F.col("size").alias("source_size"), "target", (size / F.greatest("docs", F.lit(1))).alias("mean"), F.lit(-FAR).alias("low"), F.lit(FAR).alias("high"), begin.alias("tilt"), ((size > 0) & ~none & ~full).alias("open"))
+    state = scratch.cut(state)
+    rate = _rate(most)
+    exact = lambda c: F.sum(c.cast("decimal(38,12)")).cast("double")  # noqa: E731  the same whatever the order
+    for _ in range(ROUNDS):
+        if state.where("open").isEmpty():  # a look at a written table
+            return state.select("sid", "source_size", "target", "mean", "tilt")
         inner = F.when(rate < most, rate).otherwise(0.0)
-        got = sizes.join(F.broadcast(now), sizes["source"].eqNullSafe(now["source"])).groupBy(now["source"]).agg(exact(F.col("n") * rate * F.col("size")).alias("g"), exact(F.col("n") * inner * F.col("size") * x).alias("h")).collect()
-        for r in got:
-            low, high, at = state[r["source"]]
-            s = by[r["source"]]
-            miss = r["g"] - s.target
-            if abs(miss) <= 1e-7 * s.target:
-                s.tilt = float(f"{at:.9g}")
-                del state[r["source"]]
-                continue
-            low, high = (low, at) if miss > 0 else (at, high)
-            step = at - miss / r["h"] if r["h"] else math.inf
-            state[r["source"]] = [low, high, step if low < step < high and abs(step - at) < 20 else (low + high) / 2]
-    for k, v in state.items():
-        by[k].tilt = float(f"{v[2]:.9g}")
-
-
-def _params(spark, sources: list[Source]) -> DataFrame:
-    return spark.createDataFrame([(s.source, s.size, s.target, s.tilt, s.size / max(s.docs, 1), s.limits) for s in sources], "p_source string, source_size long, target double, tilt double, mean double, limits array<struct<key:double,size:double>>")
-
-
-def _key(rate: Column, h: Column) -> Column:
+        met = sizes.join(state.where("open").select("sid", "tilt", "mean"), "sid")
+        sums = met.groupBy("sid").agg(exact(F.col("n") * rate * size).alias("g"), exact(F.col("n") * inner * size * size / F.col("mean")).alias("h"))
+        miss = F.col("g") - target
+        now = state.join(sums, "sid", "left").withColumn("done", ~F.col("open") | (F.abs(miss) <= EXACT * target))
+        now = now.withColumn("low2", F.when(miss > 0, F.col("low")).otherwise(F.col("tilt"))).withColumn("high2", F.when(miss > 0, F.col("tilt")).otherwise(F.col("high")))
+        step = F.when(F.col("h") > 0, F.col("tilt") - miss / F.col("h"))
+        step = F.when((step > F.col("low2")) & (step < F.col("high2")) & (F.abs(step - F.col("tilt")) < 20), step).otherwise((F.col("low2") + F.col("high2")) / 2)
+        new = scratch.cut(now.select(
+            "sid", "source_size", "target", "mean", F.when(F.col("done"), F.col("low")).otherwise(F.col("low2")).alias("low"), F.when(F.col("done"), F.col("high")).otherwise(F.col("high2")).alias("high"),
+            F.when(F.col("done"), F.col("tilt")).otherwise(step).alias("tilt"), (~F.col("done")).alias("open"),
+        ))
+        scratch.release(state)
+        state = new
+    raise RuntimeError(f"mixing: a source's rates aren't solved after {ROUNDS} steps")
+
+
+def _queue(rate: Column) -> Column:
     """Where a document stands in the queue for one more copy; null if its rate is whole."""
     rest = rate - F.floor(rate)
-    return F.when(rest > 0, h / rest)
-
-
-#: A source whose words miss the target by more than this share fills up with smaller documents, so many times at most.
-NEAR, FILLS = 0.002, 4
+    return F.when(rest > 0, F.col("h") / rest)
 
 
-def _crossing(rated: DataFrame, look: dict, passes: int = 4, bins: int = 512) -> dict:
-    """For each source (from key, to key, words to take, largest size): where the words of the documents in order of their keys cross the words to take.
+def round_rates(slim: DataFrame, params: DataFrame, scratch: Scratch, most: float) -> DataFrame:
+    """Adds to params who gets one more copy: `limits`, an array of (key, size): documents before the key and up to the size, and `also`, the key of one document more (or null).
 
-    Gives (key before the crossing, key after it, words still missing before it, words of the crossing). Each pass sums words by source and bin of
-    the key and looks into the bin that crosses.
+    The documents of a source are numbered in words by their place in the queue, in ranges, so a hot source is split. The first limit is where the words reach the target.
+    Then documents of at most half of what is missing go on from there, again and again, so that what is missing halves each time; at last the one document that comes nearest, if it helps.
     """
-    spark, out = rated.sparkSession, {}
-    for _ in range(passes):
-        if not look:
+    rate = _rate(most)
+    rated = slim.join(params.select("sid", "tilt", "mean"), "sid").where("size > 0").select("sid", "size", F.floor(rate).alias("whole"), _queue(rate).alias("key"))
+    rated = scratch.cut(rated)
+    base = rated.groupBy("sid").agg(F.sum(F.col("whole") * F.col("size")).alias("base"))
+    limit = "array<struct<key:double,size:bigint>>"
+    state = params.join(base, "sid").select("sid", "target", (F.col("target") - F.col("base")).alias("need"), F.lit(-1.0).alias("key"), F.lit((1 << 62)).cast("long").alias("most_size"), F.array().cast(limit).alias("limits"), F.lit(True).alias("open"))
+    state = scratch.cut(state)
+    queue = rated.where("key is not null").select("sid", "size", "key")
+    while True:
+        look = state.where("open").select("sid", "need", F.col("key").alias("from"), "most_size")
+        rows = scratch.cut(queue.join(look, "sid").where("key >= from and size <= most_size").select("sid", "key", "size", "need"))
+        line = running(rows, ["sid", "key", "size"], "size", scratch, _tasks(rows))
+        starts = line.groupBy("sid").agg(F.min("before").alias("start"))
+        over = line.join(starts, "sid").where(F.col("before") - F.col("start") + F.col("size") > F.col("need")).groupBy("sid").agg(F.min("key").alias("at"))
+        ends = rows.groupBy("sid").agg(F.lit(True).alias("met")).join(over, "sid", "left").select("sid", F.coalesce("at", F.lit(float("inf"))).alias("at"))
+        ends = scratch.cut(ends)
+        took = rows.join(ends, "sid").where("key < at").groupBy("sid").agg(F.sum("size").alias("took"))
+        new = state.join(ends, "sid", "left").join(took, "sid", "left")
+        met = F.col("open") & F.col("at").isNotNull()
+        left = F.col("need") - F.coalesce("took", F.lit(0))
+        new = scratch.cut(new.select(
+            "sid", "target", F.when(met, left).otherwise(F.col("need")).alias("need"), F.when(met, F.col("at")).otherwise(F.col("key")).alias("key"), F.when(met, F.floor(left / 2).cast("long")).otherwise(F.col("most_size")).alias("most_size"),
+            F.when(met, F.concat("limits", F.array(F.struct(F.col("at").alias("key"), F.col("most_size").alias("size"))))).otherwise(F.col("limits")).alias("limits"),
+            (met & (F.col("at") < float("inf")) & (left > NEAR * F.col("target")) & (left >= 2)).alias("open"),
+        ))
+        scratch.release(state, rows, ends)
+        state = new
+        if state.where("open").isEmpty():
             break
-        now = spark.createDataFrame([(k, float(v[0]), float(v[1]), float(v[3])) for k, v in look.items()], "s string, low double, high double, most_size double")
-        bin_ = F.floor((F.col("key") - F.col("low")) / (F.col("high") - F.col("low")) * bins)
-        part = rated.join(F.broadcast(now), F.col("p_source").eqNullSafe(F.col("s"))).where("key >= low and key < high and size <= most_size").groupBy("p_source", F.least(bin_, F.lit(bins - 1)).alias("bin")).agg(F.sum("size").alias("w"))
-        cuts: dict = {}
-        for r in part.orderBy("p_source", "bin").collect():  # MAX_SOURCES x bins at most
-            cuts.setdefault(r["p_source"], []).append((int(r["bin"]), int(r["w"])))
-        for k, (low, high, need, size) in list(look.items()):
-            width = (high - low) / bins
-            for b, w in cuts.get(k, []):
-                if w >= need:
-                    look[k] = (low + b * width, low + (b + 1) * width, need, size)
-                    out[k] = (*look[k][:3], w)
-                    break
-                need -= w
-            else:  # all of them are wanted
-                out[k] = (high, high, need, 0)
-                del look[k]
-    return out
-
-
-def round_rates(slim: DataFrame, sources: list[Source], most: float) -> None:
-    """Sets each source's limits (key, size): a document below both of one of them gets one more copy."""
-    rated = slim.join(F.broadcast(_params(slim.sparkSession, sources)), F.col("source").eqNullSafe(F.col("p_source"))).where("size > 0")
-    rate = _rate(F.col("tilt"), F.col("size"), F.col("mean"), most)
-    rated = rated.select("p_source", "size", F.floor(rate).alias("whole"), _key(rate, F.col("h")).alias("key"))
-    base = {r["p_source"]: int(r["b"]) for r in rated.groupBy("p_source").agg(F.sum(F.col("whole") * F.col("size")).alias("b")).collect()}
-    by = {s.source: s for s in sources}
-    look = {s.source: (0.0, 4.0, s.target - base.get(s.source, 0), 1e18) for s in sources if s.size}
-    for last in [False] * FILLS + [True]:
-        sizes = {k: v[3] for k, v in look.items()}
-        found, look = _crossing(rated, look), {}
-        for k, (low, high, need, w) in found.items():
-            take = w - need <= need  # nearer with the crossing document than without
-            if last or w == 0 or min(need, abs(w - need)) <= NEAR * by[k].target:
-                by[k].limits.append((high if take else low, sizes[k]))
-            else:
-                by[k].limits.append((low, sizes[k]))
-                look[k] = (low, low + 4.0, need, need / 2)
-
-
-def fit(docs: DataFrame, scratch: Scratch, weights: list[float], most: float) -> tuple[DataFrame, list[Source]]:
-    """Slim rows (doc_id, source, size, h), written once, and the solved sources."""
-    slim = scratch.cut(docs.select("doc_id", "source", n_words().alias("size"), unit_hash("doc_id", "text").alias("h")))
-    sizes = scratch.cut(slim.groupBy("source", "size").agg(F.count("*").alias("n")))
-    got = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(got) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sources = [Source(r["source"], int(r["size"]), int(r["n"])) for r in got]
-    targets(sources, weights, most)
-    solve(sizes, sources, most)
-    round_rates(slim, sources, most)
-    return slim, sources
-
-
-def _copies(slim: DataFrame, sources: list[Source], most: float) -> DataFrame:
-    out = slim.join(F.broadcast(_params(slim.sparkSession, sources)), F.col("source").eqNullSafe(F.col("p_source")), "left")
-    rate = _rate(F.col("tilt"), F.col("size"), F.col("mean"), most)
-    key = _key(rate, F.col("h"))
-    extra = F.coalesce(F.exists("limits", lambda x: (key < x["key"]) & (F.col("size") <= x["size"])).cast("int"), F.lit(0))
-    return out.select(*slim.columns, "source_size", "target", rate.alias("rate"), F.least(F.floor(rate).cast("int") + extra, F.lit(int(most))).alias("copies"))
+    short = state.where(F.col("need") > NEAR * F.col("target")).select("sid", "need", F.col("limits").alias("have"))
+    near = F.abs(F.col("size") - F.col("need"))
+    spare = queue.join(short, "sid").where(~F.exists("have", lambda x: (F.col("key") < x["key"]) & (F.col("size") <= x["size"]))).where(near < F.col("need"))
+    best = spare.groupBy("sid").agg(F.min(F.struct(near.alias("miss"), "key")).alias("best")).select("sid", F.col("best.key").alias("also"))
+    return scratch.cut(params.join(state.select("sid", "limits"), "sid", "left").join(best, "sid", "left"))
 
 
-WEIGHTS = [1.0, 2.0, 3.0]
+def fit(docs: DataFrame, scratch: Scratch, weights: list[float], most: float) -> tuple[DataFrame, DataFrame]:
+    """Slim rows (doc_id, source, sid, size, h), and a row for each source: sid, source_size, target, mean, tilt, limits, also. Both written."""
+    slim = scratch.cut(docs.select("doc_id", "source", sid().alias("sid"), n_words().alias("size"), unit_hash("doc_id", "text").alias("h")))
+    sizes = scratch.cut(slim.groupBy("sid", "source", "size").agg(F.count("*").alias("n")))
+    sources = scratch.cut(sizes.groupBy("sid", "source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("docs")))
+    params = solve(sizes, targets(sources, scratch, weights, most), scratch, most)
+    return slim, round_rates(slim, params, scratch, most)
+
+
+def _copies(rows: DataFrame, params: DataFrame, most: float) -> DataFrame:
+    """rows with source_size, target, rate and copies. A table of sources that is small is broadcast by Spark itself; else a hot source splits like any skewed join."""
+    out = rows.join(params, "sid", "left")
+    rate = _rate(most)
+    key = _queue(rate)
+    extra = (F.exists("limits", lambda x: (key < x["key"]) & (F.col("size") <= x["size"]))) | (key == F.col("also"))
+    return out.select(*rows.columns, "source_size", "target", rate.alias("rate"), F.least(F.floor(rate).cast("int") + F.coalesce(extra, F.lit(False)).cast("int"), F.lit(int(most))).alias("copies"))
 
 
 def mix(docs: DataFrame, weights: list[float] | None = None, most: float = 3.0) -> DataFrame:
     """One row per document: doc_id, source, size (words, 0 for a null text), source_size, target, rate, copies, taken (copies x size).
 
     A null source is a source of its own. Documents without words are taken once; a source without words has target 0. Repeated rows get
-    the same rate and, as their hashes are equal, the same copies. Reruns agree: hashes depend on doc_id and text, sums are exact. Other columns aren't read.
+    the same rate and, as their hashes are equal, the same copies. Reruns agree: hashes depend on doc_id and text, sums are exact. Other columns aren't read; an empty table gives an empty result.
     """
-    slim, sources = fit(docs, Scratch(docs.sparkSession, "mixing"), weights or WEIGHTS, most)
-    return _copies(slim, sources, most).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    slim, params = fit(docs, Scratch(docs.sparkSession, "mixing"), weights or WEIGHTS, most)
+    return _copies(slim, params, most).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def apply_mix(docs: DataFrame, weights: list[float] | None = None, most: float = 3.0) -> DataFrame:
     """The documents of the mix, each as often as its copies say, all columns kept whatever their names."""
-    _, sources = fit(docs, Scratch(docs.sparkSession, "mixing"), weights or WEIGHTS, most)
-    rows = docs.select(F.struct("*").alias("row"), F.col("source").alias("source"), n_words().alias("size"), unit_hash("doc_id", "text").alias("h"))
-    taken = _copies(rows, sources, most).where("copies > 0")
+    _, params = fit(docs, Scratch(docs.sparkSession, "mixing"), weights or WEIGHTS, most)
+    rows = docs.select(F.struct("*").alias("row"), sid().alias("sid"), n_words().alias("size"), unit_hash("doc_id", "text").alias("h"))
+    taken = _copies(rows, params, most).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
