@@ -52,12 +52,12 @@ TRACKING = r"utm_[^&#]*|gclid=[^&#]*|fbclid=[^&#]*"
 
 
 def address(url: Column) -> Column:
-    """One spelling for the addresses that a site answers alike: no scheme, www., default port, fragment, tracking parameters, index page or trailing slash; null without a host."""
+    """One spelling for the addresses that a site answers alike: https, no www., default port, fragment, tracking parameters, index page or trailing slash; null without a host."""
     host = F.regexp_replace(F.regexp_replace(host_of(url), r":(80|443)\z", ""), r"\Awww\.", "")
     path = F.regexp_replace(F.regexp_replace(path_of(url), r"/index\.(html?|php)\z", "/"), r"/+\z", "")
     query = F.regexp_extract(F.regexp_replace(url, r"(?s)#.*", ""), r"(?s)\?(.*)", 1)
     query = F.regexp_replace(F.regexp_replace(query, rf"(^|&)({TRACKING})(?=&|$)", ""), r"\A&+", "")
-    return F.when(host != "", F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))))
+    return F.when(host != "", F.concat(F.lit("https://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))))
 
 
 def absolute(link: Column, base: Column) -> Column:
@@ -94,23 +94,26 @@ def filter_urls(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None
     """One row per page: page_id, host, path, rule, verdict, component.
 
     A page that a rule fits has the rule's verdict. Any other is blocked if an alias is blocked by a rule and no alias is allowed by one, and
-    allowed otherwise. Aliases are pages in one connected component of addresses, over the edges that pages tell of and redirects (src, dst),
-    if given; targets that aren't pages take part, and the rules that fit them count. A null url or one without :// has empty host and path, no rule, no alias and is allowed.
-    Repeated urls are one address; other columns are not read. The rule list is part of the plan and should stay below about 1,000.
+    allowed otherwise. Aliases are the urls of one connected component. Its edges: from a url to its site's one spelling of it, where they differ, to the targets that its page tells
+    of, and redirects (src, dst), if given. Ends that aren't pages take part, and the rules that fit them count. A null url or one without :// has empty host and path, no rule, no alias and is
+    allowed; its component is null. Repeated urls are one alias with a row each; a null page_id is kept; urls and pages of any length are read whole; an empty table gives an empty result; other columns
+    are not read. Of rules of equal length that fit, the first by text counts. The rule list is part of the plan and should stay below about 1,000.
     """
     scratch = Scratch(pages.sparkSession, "urlfilter")
     url = F.col("url")
-    judged = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), address(url).alias("address"))
+    judged = pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"))
     judged = judged.withColumn("fit", rule_for(rules, F.col("host"), F.col("path")))
-    edges = page_edges(pages)
+    told = page_edges(pages)
     if redirects is not None:
-        edges = edges.union(redirects.select("src", "dst"))
-    ends = scratch.cut(edges.select(address(F.col("src")).alias("a"), address(F.col("dst")).alias("b"), F.col("src"), F.col("dst")).where("a is not null and b is not null"))
-    comp = scratch.cut(components(ends.select("a", "b"), scratch))
-    known = judged.where("address is not null").select("address", "fit.verdict").union(ends.select("b", rule_for(rules, host_of(F.col("dst")), path_of(F.col("dst"))).getField("verdict"))).where("verdict is not null")
-    marks = known.groupBy("address").agg(F.bool_or(F.col("verdict") == "block").alias("block"), F.bool_or(F.col("verdict") == "allow").alias("allow"))
-    roots = marks.join(comp, marks["address"] == comp["node"], "left").groupBy(F.coalesce("root", "address").alias("root")).agg(F.bool_or("block").alias("block"), F.bool_or("allow").alias("allow"))
+        told = told.union(redirects.select("src", "dst"))
+    told = scratch.cut(told.where(address(F.col("src")).isNotNull() & address(F.col("dst")).isNotNull()))
+    ends = told.select(F.explode(F.array("src", "dst")).alias("url"))
+    spelled = pages.select("url").union(ends).select(F.col("url").alias("a"), address(url).alias("b")).where("b is not null and a <> b")
+    comp = scratch.cut(components(told.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(spelled), scratch))
+    said = judged.select("url", "fit.verdict").union(ends.select("url", rule_for(rules, host_of(url), path_of(url)).getField("verdict"))).where("verdict is not null and url is not null")
+    marks = said.groupBy("url").agg(F.bool_or(F.col("verdict") == "block").alias("block"), F.bool_or(F.col("verdict") == "allow").alias("allow"))
+    roots = marks.join(comp, marks["url"] == comp["node"], "left").groupBy(F.coalesce("root", "url").alias("root")).agg(F.bool_or("block").alias("block"), F.bool_or("allow").alias("allow"))
     bad = roots.where("block and not allow").select("root", F.lit("block").alias("said"))
-    rooted = judged.join(comp, judged["address"] == comp["node"], "left").select("page_id", "host", "path", "fit", F.coalesce("root", "address").alias("root"))
+    rooted = judged.join(comp, judged["url"] == comp["node"], "left").select("page_id", "host", "path", "fit", F.when(F.col("host") != "", F.coalesce("root", "url")).alias("root"))
     out = rooted.join(bad, "root", "left")
     return out.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", "said", F.lit("allow")).alias("verdict"), F.col("root").alias("component"))
