@@ -11,8 +11,12 @@ from .common import SPACES, Scratch
 
 SPACE_CHARS = " \t\n\u000b\f\r"
 SYMBOLS = "[#*$%&|<>]"
-#: Share of a group that an estimate is made of, concentration steps, and the least documents of a group with an estimate of its own.
-SHARE, STEPS, LEAST = 0.5, 4, 50
+#: Share of a group that an estimate is made of, and the least documents of a group with an estimate of its own.
+SHARE, LEAST = 0.5, 50
+#: Concentration steps end when no group's log determinant falls by more than this. It has a lower bound (the floors), so they do end.
+SETTLED = 1e-3
+#: So many groups' estimates (about 200 bytes each) are broadcast at most. Beyond, rows are dealt by group and salt, so that no hot group meets in one task.
+BROADCAST_KEYS, SALTS = 100_000, 64
 #: Least standard deviation of each transformed statistic: what varies less than this isn't told apart.
 FLOOR = {"x_words": 0.25, "x_length": 0.025, "x_symbols": 0.1, "x_lines": 0.06, "x_repeat": 0.08}
 NAMES = list(FLOOR)
@@ -119,10 +123,18 @@ def _standardised() -> list[Column]:
     return ys
 
 
-def with_distance(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """Adds d2. params has one row a key, so a key with many rows splits like any skewed join."""
+def by_key(rows: DataFrame, small: DataFrame, keys: int, key: str = "key", how: str = "inner") -> DataFrame:
+    """rows joined with a table of one row a key: broadcast if `keys`, the counted number of keys, allows it, else dealt by key and salt."""
+    if keys <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(small), key, how)
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    return salted.join(small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge"), [key, "salt"], how).drop("salt")
+
+
+def with_distance(rows: DataFrame, params: DataFrame, keys: int) -> DataFrame:
+    """Adds d2. params has one row a key."""
     keep = rows.columns
-    df = rows.join(params, "key", "left")
+    df = by_key(rows, params, keys, how="left")
     for y in _standardised():
         df = df.select("*", y)
     return df.select(*keep, sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, len(NAMES))), F.col("y0") * F.col("y0")).alias("d2"))
@@ -147,22 +159,29 @@ def _estimate(rows: DataFrame, factor: float) -> DataFrame:
     return g.select("key", *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
 
 
-def mcd(rows: DataFrame, scratch: Scratch, share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """Minimum-covariance-determinant estimates of each key of rows (key and the transformed statistics), reweighted: key, m0.., l00..
+def mcd(rows: DataFrame, scratch: Scratch, keys: int, share: float = SHARE) -> DataFrame:
+    """Minimum-covariance-determinant estimates of each key of rows (key and the transformed statistics), reweighted: key, m0.., l00.. keys: number of keys.
 
-    Concentration steps lower the determinant each; they start at medians and quartiles, so they are the same in every run. The nearest `share` is
-    taken by bins of the distance; of the last bin each row counts in part, so that a bin full of copies doesn't enter whole.
+    Concentration steps lower the determinant each, until it settles for every key; they start at medians and quartiles, so they are the same in every run. The nearest
+    `share` is taken by bins of the distance; of the last bin each row counts in part, so that a bin full of copies doesn't enter whole.
     """
-    params = scratch.cut(_start(rows, scratch))
-    for _ in range(steps):
-        near = with_distance(rows, params).withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-6) * 16))
+    log_det = sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(1, len(NAMES))), 2 * F.log("l00"))
+    params, last = scratch.cut(_start(rows, scratch)), None
+    while True:
+        near = with_distance(rows, params, keys).withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-6) * 16))
         counts = scratch.cut(near.groupBy("key", "bin").agg(F.count("*").alias("n")))  # by key and bin, before a key's bins meet
         cut = scratch.cut(_cut_at(counts, ["key"], "bin", share))
-        held = near.join(cut, "key").where("bin <= cut").withColumn("w", F.when(F.col("bin") == F.col("cut"), F.col("part")).otherwise(F.lit(1.0)))
+        held = by_key(near, cut, keys).where("bin <= cut").withColumn("w", F.when(F.col("bin") == F.col("cut"), F.col("part")).otherwise(F.lit(1.0)))
         new = scratch.cut(_estimate(held, CONSISTENT))
+        falls = True
+        if last is not None:  # the first estimate comes from another half than quartiles tell of
+            old = last.select("key", log_det.alias("old"))
+            falls = not by_key(new.select("key", log_det.alias("new")), old, keys).where(F.col("old") - F.col("new") > SETTLED).isEmpty()
         scratch.release(params, counts, cut)
-        params = new
-    return scratch.cut(_estimate(with_distance(rows, params).where(F.col("d2") <= REWEIGHT).withColumn("w", F.lit(1.0)), REWEIGHTED))
+        params, last = new, new
+        if not falls:
+            break
+    return scratch.cut(_estimate(with_distance(rows, params, keys).where(F.col("d2") <= REWEIGHT).withColumn("w", F.lit(1.0)), REWEIGHTED))
 
 
 def judge(docs: DataFrame, cut: float = CUT, least: int = LEAST) -> DataFrame:
@@ -182,8 +201,8 @@ def judge(docs: DataFrame, cut: float = CUT, least: int = LEAST) -> DataFrame:
     sizes = scratch.cut(good.groupBy("own", "by_lang").agg(F.count("*").alias("n")))
     pools = sizes.where(F.col("n") < least).groupBy("by_lang").agg(F.sum("n").alias("pool"))
     keys = scratch.cut(sizes.join(pools, "by_lang", "left").select("own", F.when(F.col("n") >= least, F.col("own")).when(F.col("pool") >= least, F.col("by_lang")).otherwise(F.lit("all")).alias("key")))
-    keyed = good.join(keys, "own").select("key", *NAMES)
-    params = mcd(keyed, scratch)
-    out = with_distance(rows.join(keys, "own", "left"), params)
+    n = keys.count()
+    params = mcd(by_key(good, keys, n, "own").select("key", *NAMES), scratch, n)
+    out = with_distance(by_key(rows, keys, n, "own", "left"), params, n)
     d2 = F.when(~F.col("base_failed"), F.col("d2"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(d2 <= cut, F.lit(True))).alias("kept"), F.sqrt(d2).alias("distance"))
