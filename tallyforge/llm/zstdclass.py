@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from .common import text_of
 
-#: Bounds of the sample that a classifier is fitted on: labelled rows for each class and purpose, bytes of a text, bytes of a dictionary.
-SAMPLE_ROWS, SAMPLE_BYTES, DICT_BYTES = 2000, 4096, 262_144
+#: Bounds of the sample that a classifier is fitted on: labelled documents for each class and purpose, bytes of their whole texts together, bytes of a dictionary.
+SAMPLE_ROWS, SAMPLE_BYTES, DICT_BYTES = 2000, 8 << 20, 262_144
 #: Texts are compressed in pieces of so many bytes, each with a fresh dictionary; else a long text soon compresses by itself alone.
 PIECE = 1024
 
@@ -74,35 +74,45 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[float]:
     return [float(w[0]), float(max(w[1], 0.0) / scale)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Model:
-    """Learns from labelled rows whose bucket isn't 2: dictionaries from buckets 0 and 1, calibration from bucket 3.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Learns from labelled documents whose bucket isn't 2: dictionaries from buckets 0 and 1, calibration from bucket 3.
 
-    The sample has at most `sample` rows for each class and purpose (2 x 2 x sample ids, chosen by a hash of the id among all labels, so
-    their number bounds the broadcast), and of each text the `SAMPLE_BYTES` from a place that the hash picks. With only one class or no
-    labels the score is the share of label 1 (0.5 for none). Null labels and ids are left out.
+    The sample has at most `sample` documents and `sample_bytes` bytes of whole texts for each class and purpose, in the order of a hash of the id; a text that is longer than what is
+    left is passed over. So 4 x sample ids bound the broadcast and 4 x sample_bytes what comes to the driver. Texts are never cut. With only one class or no labels the score is the
+    share of label 1 (0.5 for none), and the model isn't `fitted`. Null labels and ids, and ids with both labels, are left out; of a repeated label one counts.
     """
     b = bucket()
     use = F.when(b == 3, 1).when(b != 2, 0)
-    rows = labels.select("doc_id", F.col("quality").cast("int").alias("quality"), use.alias("use")).where("doc_id is not null and quality in (0, 1) and use is not null").withColumn("h", F.xxhash64("doc_id"))
+    said = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
+    rows = said.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").select("doc_id", "quality", use.alias("use")).where("use is not null").withColumn("h", F.xxhash64("doc_id"))
     picked = None
     for q in (0, 1):
         for u in (0, 1):
             part = rows.where((F.col("quality") == q) & (F.col("use") == u)).orderBy("h", "doc_id").limit(sample)
             picked = part if picked is None else picked.union(part)
-    at = F.pmod(F.col("h"), F.greatest(F.octet_length("text") - F.lit(SAMPLE_BYTES) + 1, F.lit(1)))
-    piece = F.substring(F.col("text").cast("binary"), at.cast("int") + 1, F.lit(SAMPLE_BYTES))
-    got = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text is not null").select("h", "doc_id", "quality", "use", piece.alias("data")).orderBy("h", "doc_id").limit(8 * sample).collect()
-    data = {(q, u): [bytes(r["data"]) for r in got if (r["quality"], r["use"]) == (q, u)] for q in (0, 1) for u in (0, 1)}
+    sizes = docs.select("doc_id", F.octet_length("text").alias("n")).join(F.broadcast(picked), "doc_id").where("n is not null").groupBy("h", "doc_id", "quality", "use").agg(F.sum("n").alias("n"))
+    room = {(q, u): sample_bytes for q in (0, 1) for u in (0, 1)}
+    chosen = []
+    for r in sizes.orderBy("h", "doc_id").collect():  # 4 x sample at most
+        if r["n"] <= room[r["quality"], r["use"]]:
+            room[r["quality"], r["use"]] -= r["n"]
+            chosen.append((r["doc_id"], r["quality"], r["use"], r["h"]))
+    wanted = docs.sparkSession.createDataFrame(chosen, T.StructType([labels.schema["doc_id"], *(T.StructField(n, T.IntegerType()) for n in ("quality", "use")), T.StructField("h", T.LongType())]))
+    got = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").where("text is not null").select("h", "doc_id", "quality", "use", "text").collect() if chosen else []
+    got.sort(key=lambda r: (r["h"], r["doc_id"], r["text"]))
+    data = {(q, u): [r["text"].encode() for r in got if (r["quality"], r["use"]) == (q, u)] for q in (0, 1) for u in (0, 1)}
     n1, n = sum(r["quality"] for r in got), len(got)
     prior = (n1 + 0.5) / (n + 1) if n else 0.5
     flat = [float(np.log(prior / (1 - prior))), 0.0]
 
     def dictionary(texts: list[bytes]) -> bytes:
-        parts = [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
-        try:
-            return zstandard.train_dictionary(DICT_BYTES, parts, level=3).as_bytes()
-        except zstandard.ZstdError:  # too little text to train on: the text itself
-            return b"".join(texts)[-DICT_BYTES:] or b"\0" * 8
+        parts, size = [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)], DICT_BYTES
+        while size >= 1024:
+            try:
+                return zstandard.train_dictionary(size, parts, level=3).as_bytes()
+            except zstandard.ZstdError:  # too little text for so large a dictionary
+                size //= 2
+        return b"".join(texts) or b"\0" * 8  # too little for any: the texts themselves, whole
 
     model = Model(dictionary(data[1, 0]), dictionary(data[0, 0]), flat)
     if data[0, 0] and data[1, 0] and data[0, 1] and data[1, 1]:
