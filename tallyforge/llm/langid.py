@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_of
+from .common import Scratch, text_of
 
-#: Hashed n-gram dimensions, centroids of a language, and the bounds of the training sample: rows of a language (about) and rows in all.
-DIMS, CENTROIDS, SAMPLE_ROWS, SAMPLE_ALL = 1 << 13, 4, 400, 20_000
-#: So many languages are learned at most, the most frequent ones.
-MOST_LANGS = 1000
+#: Hashed n-gram dimensions, centroids of a language, and the bounds of the sample that centroids are fitted on: rows of a language, and rows in all (about both); but of
+#: each language so many at least, if it has them, however many languages there are.
+DIMS, CENTROIDS, SAMPLE_ROWS, SAMPLE_ALL, SAMPLE_LEAST = 1 << 13, 4, 400, 20_000, 8
+#: A table of so many languages (under 100 bytes each) is broadcast at most; more are joined without a hint.
+BROADCAST_LANGS = 100_000
 UNKNOWN = "und"
 
 
@@ -97,40 +98,57 @@ def bucket(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
 
 
-def fit(docs: DataFrame, per_lang: int = SAMPLE_ROWS, most: int = SAMPLE_ALL) -> Model:
+def fit(docs: DataFrame, per_lang: int = SAMPLE_ROWS, most: int = SAMPLE_ALL, least: int = SAMPLE_LEAST) -> Model:
     """Learns from text and non-null lang of documents whose bucket isn't 0.
 
-    The sample: of each language about per_lang rows, those with the least hashes of doc_id and text, `most` rows in all. Their count vectors are made
-    by tasks from whole texts; only sparse vectors come to the driver, where the centroids are clustered.
+    Document frequencies count all of these documents, one distributed sum of DIMS counters. Centroids come from a sample: of each language those rows with the least hashes of
+    doc_id, about `per_lang` of them, fewer where many languages would make more than `most` in all, but `least`, and one at least. Every language is learned. Count vectors are made by tasks
+    from whole texts; only sparse vectors of the sample come to the driver. A model takes 128 KiB a language.
     """
-    rows = docs.select("doc_id", "text", "lang").where((bucket() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)  # so its broadcast is bounded, and no text is shuffled
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "langid")
     h = F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double") / float(1 << 53)
-    share = F.lit(float(per_lang)) / F.col("n")
-    picked = rows.join(F.broadcast(sizes), "lang").where(h < share)
+    rows = docs.select("doc_id", "text", "lang").where((bucket() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("h", h)
+    sizes = [(r["lang"], r["n"], r["first"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("first")).collect()]  # a row for each language, as the model has
+    low, high = least, max(least, per_lang)
+    while low < high:  # the largest quota with at most `most` rows
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if sum(min(n, mid) for _, n, _ in sizes) <= most else (low, mid - 1)
+    shares = spark.createDataFrame([(lang, min(1.0, low / n), first) for lang, n, first in sizes], "lang string, share double, first double")
+    marked = rows.join(F.broadcast(shares) if len(sizes) <= BROADCAST_LANGS else shares, "lang").select("lang", "text", ((F.col("h") < F.col("share")) | (F.col("h") <= F.col("first"))).alias("picked"))
 
     def run(batches):
+        df, n = np.zeros(DIMS, "i8"), 0
         for b in batches:
             langs, at, val = [], [], []
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for lang, text, picked in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 c = counts(text.as_py())
                 if c is not None:
                     i = np.flatnonzero(c)
-                    langs.append(lang), at.append(i.astype("u2").tobytes()), val.append(c[i].astype("u4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(at, pa.binary()), pa.array(val, pa.binary())], ["lang", "at", "val"])
-
-    got = picked.select("lang", "text").mapInArrow(run, "lang string, at binary, val binary").orderBy(F.xxhash64("at", "val"), "lang").limit(most).collect()
-    langs = sorted({r["lang"] for r in got}, key=lambda s: s.encode())
+                    df[i] += 1
+                    n += 1
+                    if picked:
+                        langs.append(lang), at.append(i.astype("u2").tobytes()), val.append(c[i].astype("u4").tobytes())
+            m = len(langs)
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(at, pa.binary()), pa.array(val, pa.binary()), pa.array([None] * m, pa.list_(pa.int64())), pa.array([0] * m, pa.int64())], ["lang", "at", "val", "df", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([df], pa.list_(pa.int64())), pa.array([n], pa.int64())], ["lang", "at", "val", "df", "n"])
+
+    seen = scratch.cut(marked.mapInArrow(run, "lang string, at binary, val binary, df array<long>, n long"))
+    df, n = np.zeros(DIMS), int(seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    for r in seen.where("df is not null").select(F.posexplode("df").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect():  # DIMS rows
+        df[r["k"]] = r["x"]
+    got: dict[str, list] = {}
+    for r in sorted(seen.where("df is null").select("lang", "at", "val").collect(), key=lambda r: (bytes(r["at"]), bytes(r["val"]))):
+        got.setdefault(r["lang"], []).append(r)
+    scratch.release(seen)
+    langs = sorted(got, key=lambda s: s.encode())
     if not langs:
         return Model([], np.ones(DIMS, "f4"), np.zeros((0, DIMS), "f4"), np.zeros(0, int), np.zeros(33))
-    df = np.zeros(DIMS)
-    for r in got:
-        df[np.frombuffer(r["at"], "u2")] += 1
-    model = Model(langs, np.log((len(got) + 1) / (df + 1)).astype("f4") + np.float32(0.05), np.zeros((0, DIMS), "f4"), np.zeros(0, int), np.zeros(33))
+    model = Model(langs, np.log((n + 1) / (df + 1)).astype("f4") + np.float32(0.05), np.zeros((0, DIMS), "f4"), np.zeros(0, int), np.zeros(33))
     cents, lang_of, near, bits = [], [], [], []
     for i, lang in enumerate(langs):
-        dense = np.zeros((sum(r["lang"] == lang for r in got), DIMS), "f4")
-        for k, r in enumerate(r for r in got if r["lang"] == lang):
+        dense = np.zeros((len(got[lang]), DIMS), "f4")
+        for k, r in enumerate(got[lang]):
             dense[k, np.frombuffer(r["at"], "u2")] = np.frombuffer(r["val"], "u4")
         x = model.vectors(dense)
         long_ = dense.sum(1) >= 300  # short texts blur the centroids
