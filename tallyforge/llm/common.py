@@ -129,5 +129,5 @@ def running(df: DataFrame, order: list[str], value: str, scratch: Scratch, parti
     for pid, s in sizes:
         offsets.append((pid, total))
         total += s or 0
-    offset = spark.createDataFrame(offsets, "pid int, offset long")
+    offset = spark.createDataFrame(offsets, "pid int, offset long")  # one row a task
     return local.join(F.broadcast(offset), "pid").select(*names, (F.col("before") + F.col("offset")).alias("before"))
