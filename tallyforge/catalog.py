@@ -22,6 +22,7 @@ from .operators import retrieval as R
 from .operators import review as Q
 from .operators import telemetry as TM
 from .operators import validation as V
+from .operators.ranking import global_rank
 from .plans.views import STAR_SQL, approved, items_view, read, receipts_view, star_items, star_receipts
 
 QUERIES: dict = {}
@@ -73,18 +74,39 @@ def _(spark, d):
     return G.frame(spark, G.Plan(sql, p), {"analytics_receipts": _rv(spark, d)}, protected=p, filters=[FL.guard_filter(f, r)])
 
 
+_GUARDED = {
+    "guarded_strftime_total": ("SELECT strftime('%Y-%m', receipt_date) AS ym, TOTAL(grand_total) > 0 AS some, COUNT(*) AS n FROM analytics_receipts GROUP BY strftime('%Y-%m', receipt_date) LIMIT 100", "SELECT strftime(CAST(receipt_date AS DATE), '%Y-%m') AS ym, sum(grand_total) > 0 AS some, count(*) AS n FROM analytics_receipts GROUP BY 1 ORDER BY 1 LIMIT 100"),
+    "guarded_glob_like": ("SELECT COUNT(*) AS n, SUM(CASE WHEN receipt_date GLOB '199[67]-0?-*' THEN 1 ELSE 0 END) AS early, SUM(CASE WHEN merchant LIKE 'BUILD%' THEN 1 ELSE 0 END) AS build FROM analytics_receipts", "SELECT count(*) AS n, CAST(sum(CASE WHEN regexp_matches(receipt_date, '^199[67]-0.-') THEN 1 ELSE 0 END) AS BIGINT) AS early, CAST(sum(CASE WHEN merchant ILIKE 'BUILD%' THEN 1 ELSE 0 END) AS BIGINT) AS build FROM analytics_receipts"),
+    "guarded_min_max_division": ("SELECT MAX(MIN(item_count, 3)) AS most, MIN(MAX(item_count, 2)) AS least, MAX(item_count / 2) AS half, MAX(receipt_id / 0) AS none FROM analytics_receipts", "SELECT max(least(item_count, 3)) AS most, min(greatest(item_count, 2)) AS least, max(item_count // 2) AS half, CAST(NULL AS BIGINT) AS none FROM analytics_receipts"),
+    "guarded_lenient_cast": ("SELECT MAX(CAST(receipt_date AS INTEGER)) AS year, SUM(CAST(merchant AS INTEGER)) AS zero, MAX(CAST('12.5abc' AS REAL)) AS part FROM analytics_receipts", "SELECT max(CAST(substr(receipt_date, 1, 4) AS BIGINT)) AS year, 0::BIGINT AS zero, 12.5::DOUBLE AS part FROM analytics_receipts"),
+    "guarded_dates": ("SELECT date(receipt_date, 'start of month', '+1 month') AS next_month, CAST(MIN(julianday(receipt_date) - julianday('1992-01-01')) AS INTEGER) AS days, COUNT(DISTINCT datetime(receipt_date)) AS n FROM analytics_receipts GROUP BY date(receipt_date, 'start of month', '+1 month') LIMIT 100", "SELECT strftime(date_trunc('month', CAST(receipt_date AS DATE)) + INTERVAL 1 MONTH, '%Y-%m-%d') AS next_month, min(date_diff('day', DATE '1992-01-01', CAST(receipt_date AS DATE))) AS days, count(DISTINCT receipt_date) AS n FROM analytics_receipts GROUP BY 1 ORDER BY 1 LIMIT 100"),
+    "guarded_month_sum": ("SELECT ROUND(SUM(CAST(grand_total AS DECIMAL(18, 2))), 2) AS value, currency FROM analytics_receipts WHERE lower(merchant) = :f001_merchant_0 AND receipt_month = '1996-06' GROUP BY currency LIMIT 100", "SELECT sum(CAST(grand_total AS DECIMAL(18,2))) AS value, currency FROM analytics_receipts WHERE merchant = 'furniture' AND receipt_month = '1996-06' GROUP BY currency"),
+    "guarded_join_items": ("SELECT r.merchant, COUNT(*) AS n FROM analytics_receipts r JOIN analytics_purchase_items i ON (r.receipt_id = i.receipt_id) WHERE i.category = :c AND r.receipt_id IN (SELECT receipt_id FROM analytics_receipts WHERE grand_total > 1000) GROUP BY r.merchant HAVING COUNT(*) > 2 ORDER BY n DESC, r.merchant LIMIT 20", "SELECT r.merchant, count(*) AS n FROM analytics_receipts r JOIN analytics_purchase_items i ON r.receipt_id = i.receipt_id WHERE i.category = 'small' AND r.grand_total > 1000 GROUP BY 1 HAVING count(*) > 2 ORDER BY n DESC, r.merchant LIMIT 20"),
+}
+
+
+def _guarded(spark, d, sql: str) -> DataFrame:
+    given = {"f001_merchant_0": "furniture", "c": "small"}
+    plan = G.Plan(sql, {k: v for k, v in given.items() if f":{k}" in sql}, "rows" if "LIMIT" in sql else "scalar")
+    return G.frame(spark, plan, {"analytics_receipts": _rv(spark, d), "analytics_purchase_items": _iv(spark, d)})
+
+
+for _name, (_sql, _want) in _GUARDED.items():
+    query(_name, _want, True)(lambda s, d, q=_sql: _guarded(s, d, q))
+
+
 @query("set_ops_views", "SELECT merchant, 'both' AS side FROM (SELECT merchant FROM analytics_receipts INTERSECT SELECT merchant FROM analytics_purchase_items) UNION ALL SELECT merchant, 'receipts' AS side FROM (SELECT merchant FROM analytics_receipts EXCEPT SELECT merchant FROM analytics_purchase_items)", True)
 def _(spark, d):
     a, b = _rv(spark, d).select("merchant"), _iv(spark, d).select("merchant")
     return a.intersect(b).withColumn("side", F.lit("both")).union(a.subtract(b).withColumn("side", F.lit("receipts")))
 
 
-@query("window_sum_over", "SELECT DISTINCT merchant, receipt_month, sum(CAST(sum(CAST(grand_total AS DECIMAL(18,2))) AS DECIMAL(18,2))) OVER (PARTITION BY merchant ORDER BY receipt_month)::DOUBLE AS running FROM analytics_receipts WHERE merchant IN ('building', 'household') GROUP BY merchant, receipt_month", True)
+@query("window_sum_over", "SELECT DISTINCT merchant, receipt_month, sum(CAST(sum(CAST(grand_total AS DECIMAL(18,2))) AS DECIMAL(18,2))) OVER (PARTITION BY merchant ORDER BY receipt_month)::DOUBLE AS running FROM analytics_receipts GROUP BY merchant, receipt_month", True)
 def _(spark, d):
     from pyspark.sql import Window as W
 
     # months are summed before the window: a merchant's window has one row a month, however many receipts it has
-    m = _rv(spark, d).where(F.col("merchant").isin("building", "household")).groupBy("merchant", "receipt_month").agg(F.sum(F.col("grand_total").cast("decimal(18,2)")).alias("s"))
+    m = _rv(spark, d).groupBy("merchant", "receipt_month").agg(F.sum(F.col("grand_total").cast("decimal(18,2)")).alias("s"))
     return m.select("merchant", "receipt_month", F.sum("s").over(W.partitionBy("merchant").orderBy("receipt_month")).cast("double").alias("running"))
 
 
@@ -210,22 +232,27 @@ WITH base AS (SELECT doc_id, list_filter(string_split(""" + _NORM.format("text")
 corpus AS (SELECT count(*) AS n, avg(len(words)) AS mean_length FROM base),
 tf AS (SELECT doc_id, len(words) AS length, term, count(*) AS tf FROM (SELECT doc_id, words, unnest(words) AS term FROM base) WHERE term IN ('licensed', 'mail6', 'the') GROUP BY 1, 2, 3),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)
-SELECT doc_id, round(sum(CAST(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean_length)) AS DECIMAL(28,12))), 6)::DOUBLE AS score
+SELECT doc_id, round(sum(CAST(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean_length)) AS DECIMAL(28,12))), 6)::DOUBLE AS score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INT) AS rank
 FROM tf JOIN df USING (term), corpus GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 25""")(lambda s, d: R.bm25(read(s, d, "documents"), "doc_id", "text", ["licensed", "mail6", "the"]))
 query("lexical_fallback_score", "SELECT p_partkey, CAST(list_contains(string_split(p_name, ' '), 'red') AS INT) + CAST(list_contains(string_split(p_name, ' '), 'bolt') AS INT) + 0.35 * (CAST(contains(p_name, 'red') AS INT) + CAST(contains(p_name, 'bolt') AS INT) + CAST(contains(p_name, 'red bolt') AS INT)) AS score FROM part WHERE contains(p_name, 'red') OR contains(p_name, 'bolt')")(
     lambda s, d: read(s, d, "part").select("p_partkey", R.fallback_score(F.col("p_name"), ["red", "bolt", "red bolt"]).alias("score")).where("score > 0"))
 _JACC = """WITH p AS (SELECT p_partkey, p_name AS w, list_distinct(list_transform(range(1, length(p_name) - 1), lambda i: substr(p_name, i::INT, 3))) AS g FROM part), q AS (SELECT list_distinct(list_transform(range(1, 7), lambda i: substr('red bolt', i::INT, 3))) AS g)
 SELECT p_partkey, CASE WHEN len(list_intersect(p.g, q.g))::DOUBLE / len(list_distinct(p.g || q.g)) >= 0.45 THEN 2.5 * (len(list_intersect(p.g, q.g))::DOUBLE / len(list_distinct(p.g || q.g))) ELSE 0.0 END AS score FROM p, q"""
 query("trigram_jaccard", _JACC)(lambda s, d: read(s, d, "part").select("p_partkey", T.trigram_score(F.col("p_name"), F.lit("red bolt")).alias("score")))
-query("lexical_relevance", "SELECT p_partkey, CASE WHEN p_name = 'red bolt' THEN 20.0 + 8 + 8 END AS score FROM part WHERE p_name = 'red bolt'")(lambda s, d: read(s, d, "part").where("p_name = 'red bolt'").select("p_partkey", T.lexical_relevance("red bolt", F.col("p_name")).alias("score")))
-query("lexical_relevance_all")(lambda s, d: read(s, d, "part").select("p_partkey", T.lexical_relevance("ring widgets", F.col("p_name")).alias("score")))
+_LEX = """WITH p AS (SELECT p_partkey, lower(p_name) AS t, string_split(lower(p_name), ' ') AS ws FROM part), g AS (SELECT unnest(['red', 'bolt']) AS w),
+tri AS (SELECT p_partkey, w, x, list_distinct(list_transform(range(1, greatest(length(x) - 1, 1)), lambda i: substr(x, i::INT, 3))) AS gx, list_distinct(list_transform(range(1, greatest(length(w) - 1, 1)), lambda i: substr(w, i::INT, 3))) AS gw FROM (SELECT p_partkey, unnest(ws) AS x FROM p), g),
+fit AS (SELECT p_partkey, w, max(CASE WHEN x = w THEN 8.0::DOUBLE WHEN length(w) >= 4 AND contains(x, w) THEN 6.0 + least(1.0::DOUBLE, length(w) / length(x)) WHEN length(x) >= 4 AND contains(w, x) THEN 4.0 + least(1.0::DOUBLE, length(x) / length(w))
+  WHEN length(x) >= 4 AND length(w) >= 4 AND len(list_intersect(gx, gw)) / len(list_distinct(gx || gw)) >= 0.45 THEN 2.5 * len(list_intersect(gx, gw)) / len(list_distinct(gx || gw)) ELSE 0.0 END) AS best FROM tri GROUP BY 1, 2)
+SELECT p_partkey, round(CAST(CASE WHEN any_value(t) = 'red bolt' THEN 20.0::DOUBLE WHEN contains(any_value(t), 'red bolt') THEN 12.0 + least(2.0::DOUBLE, 8.0::DOUBLE / length(any_value(t))) WHEN contains('red bolt', any_value(t)) THEN 5.0 ELSE 0.0 END + sum(best) AS DECIMAL(20,12)), 8)::DOUBLE AS score FROM p JOIN fit USING (p_partkey) GROUP BY 1"""
+query("lexical_relevance", _LEX)(lambda s, d: read(s, d, "part").select("p_partkey", T.lexical_relevance("red bolt", F.col("p_name")).alias("score")))
+query("lexical_relevance_all", _LEX.replace("'red', 'bolt'", "'ring', 'widgets'").replace("red bolt", "ring widgets").replace("8.0::DOUBLE / length(any", "12.0::DOUBLE / length(any"))(
+    lambda s, d: read(s, d, "part").select("p_partkey", T.lexical_relevance("ring widgets", F.col("p_name")).alias("score")))
 query("rrf_fusion", "WITH r AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id DESC) AS a, row_number() OVER (ORDER BY label, vec_id) AS b FROM embeddings) SELECT vec_id, 1.0::DOUBLE / (60 + a) + CASE WHEN vec_id % 2 = 0 THEN 1.5::DOUBLE / (60 + b) ELSE 0.0 END AS fusion FROM r")(lambda s, d: _fused(s, d))
 
 
 def _fused(s, d) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    e = read(s, d, "embeddings").select("vec_id", F.row_number().over(W.orderBy(F.desc("vec_id"))).alias("a"), F.row_number().over(W.orderBy("label", "vec_id")).alias("b"))
+    e = read(s, d, "embeddings").select("vec_id", "label")
+    e = global_rank(global_rank(e, [F.desc("vec_id")], "a"), [F.col("label"), F.col("vec_id")], "b")
     return e.select("vec_id", R.fuse(F.col("a"), F.when(F.col("vec_id") % 2 == 0, F.col("b"))).alias("fusion"))
 
 
@@ -270,8 +297,8 @@ def _facts(s, d):
     return V.item_facts(li.select(F.col("l_orderkey").alias("record_id"), F.col("l_partkey").cast("string").alias("name"), F.lit("pc").alias("unit"), F.col("l_quantity").alias("quantity"), F.when(F.col("l_linenumber") != 7, F.col("l_extendedprice")).alias("final_price"), (F.col("l_extendedprice") + 1.0).alias("original_price"), F.when(F.col("l_tax") == 0.08, 2.0).otherwise(1.0).alias("discount_amount")))
 
 
-def _checks(s, d):
-    return V.check_records(_records(s, d), _facts(s, d))
+def _checks(s, d, *codes):
+    return V.check_records(_records(s, d), _facts(s, d), codes=list(codes) or None)
 
 
 _CODE = lambda code, cond: (f"SELECT o_orderkey AS record_id, CASE WHEN ({cond}) IS NULL THEN 'skipped' WHEN {cond} THEN 'passed' ELSE 'failed' END AS status FROM orders", code)
@@ -279,15 +306,39 @@ for _name, (_sql, _code) in {
     "payment_change_check": _CODE("PAYMENT_CHANGE", "CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 8 <> 1 END"), "currency_consistency": _CODE("CURRENCY_CONSISTENCY", "o_orderkey % 11 <> 0"),
     "pre_discount_check": _CODE("PRE_DISCOUNT_TOTAL", "CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 6 <> 0 END"), "net_plus_vat_check": _CODE("NET_PLUS_VAT", "o_orderkey % 5 <> 0 OR abs(CAST(round(CAST(o_totalprice AS DECIMAL(18,6)) / 1.19, 2) AS DOUBLE) + 1.0 - o_totalprice) <= 0.02"),
 }.items():
-    query(_name, _sql)(lambda s, d, c=_code: _checks(s, d).where(F.col("code") == c).select("record_id", "status"))
+    query(_name, _sql)(lambda s, d, c=_code: _checks(s, d, c).select("record_id", "status"))
 query("item_sum_reconciliation", """WITH f AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_linenumber <> 7) AS p, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS s FROM lineitem GROUP BY 1)
-SELECT o_orderkey AS record_id, CASE WHEN n IS NULL OR p <> n THEN 'skipped' WHEN abs(s - CAST(o_totalprice AS DECIMAL(18,2))) <= 0.02 OR (o_orderkey % 3 = 0 AND abs(s - CASE WHEN o_orderkey % 6 = 0 THEN 4 ELSE 5 END - CAST(o_totalprice AS DECIMAL(18,2))) <= 0.02) THEN 'passed' ELSE 'failed' END AS status FROM orders LEFT JOIN f ON o_orderkey = l_orderkey""")(lambda s, d: _checks(s, d).where("code = 'ITEM_SUM_RECONCILIATION'").select("record_id", "status"))
+SELECT o_orderkey AS record_id, CASE WHEN n IS NULL OR p <> n THEN 'skipped' WHEN abs(s - CAST(o_totalprice AS DECIMAL(18,2))) <= 0.02 OR (o_orderkey % 3 = 0 AND abs(s - CASE WHEN o_orderkey % 6 = 0 THEN 4 ELSE 5 END - CAST(o_totalprice AS DECIMAL(18,2))) <= 0.02) THEN 'passed' ELSE 'failed' END AS status FROM orders LEFT JOIN f ON o_orderkey = l_orderkey""")(lambda s, d: _checks(s, d, "ITEM_SUM_RECONCILIATION").select("record_id", "status"))
 query("repeated_items", "SELECT l_orderkey AS record_id, count(*) AS repeated FROM (SELECT l_orderkey, l_partkey, l_quantity, CASE WHEN l_linenumber <> 7 THEN l_extendedprice END AS p FROM lineitem GROUP BY ALL HAVING count(*) > 1) GROUP BY 1")(lambda s, d: _facts(s, d).where("repeated > 0").select("record_id", "repeated"))
 query("item_discount_faults", "SELECT l_orderkey AS record_id, count(*) FILTER (l_linenumber <> 7 AND l_tax = 0.08) AS discount_faults FROM lineitem GROUP BY 1")(lambda s, d: _facts(s, d).select("record_id", "discount_faults"))
-query("vat_rate_check")(lambda s, d: _checks(s, d).where("code = 'VAT_RATE'").select("record_id", "status"))
-query("validation_rollup")(lambda s, d: V.roll_up(_checks(s, d)).select("record_id", "errors", "reviews", "skipped", "status", V.decision(F.col("status")).alias("decision")))
-query("noisy_description_flags", "SELECT doc_id, contains(line, '#') OR contains(line, '|') OR contains(line, '<') OR contains(line, '>') OR contains(line, '@') AS marked, length(line) <= 3 AS short, regexp_matches(trim(line, ' '), '[.,:;/-]$') AS cut FROM (SELECT doc_id, substr(trim(text, ' '), 1, 240) AS line FROM documents) WHERE line <> '' AND NOT regexp_matches(line, '[�§~^_{}\\[\\]]')")(
-    lambda s, d: read(s, d, "documents").select("doc_id", F.substr(F.trim("text"), F.lit(1), F.lit(240)).alias("line")).where("line <> ''").where(~F.col("line").rlike(r"[�§~^_{}\[\]]")).select("doc_id", C.noise(F.col("line")).alias("n")).select("doc_id", F.array_contains("n", "contains_ocr_marker").alias("marked"), F.array_contains("n", "very_short_description").alias("short"), F.array_contains("n", "truncated_or_punctuation_ending").alias("cut")))
+_VAT_OK = "(o_orderkey % 5 <> 0 OR abs(CAST(round(CAST(round(CAST(o_totalprice AS DECIMAL(18,6)) / 1.19, 2) AS DECIMAL(18,6)) * 0.19, 2) AS DOUBLE) - 1.0) <= 0.02)"
+query("vat_rate_check", f"SELECT o_orderkey AS record_id, CASE WHEN {_VAT_OK} THEN 'passed' ELSE 'failed' END AS status FROM orders")(lambda s, d: _checks(s, d, "VAT_RATE").select("record_id", "status"))
+for _name, (_code, _cond) in {
+    "nonnegative_amounts_check": ("NONNEGATIVE_AMOUNTS", "true"), "items_present_check": ("ITEMS_PRESENT", "n IS NOT NULL"), "item_prices_complete_check": ("ITEM_PRICES_COMPLETE", "p = n"), "item_discount_check": ("ITEM_DISCOUNT_ARITHMETIC", "faults = 0"),
+}.items():
+    query(_name, f"WITH f AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_linenumber <> 7) AS p, count(*) FILTER (l_linenumber <> 7 AND l_tax = 0.08) AS faults FROM lineitem GROUP BY 1) SELECT o_orderkey AS record_id, CASE WHEN ({_cond}) IS NULL THEN 'skipped' WHEN {_cond} THEN 'passed' ELSE 'failed' END AS status FROM orders LEFT JOIN f ON o_orderkey = l_orderkey")(
+        lambda s, d, c=_code: _checks(s, d, c).select("record_id", "status"))
+query("validation_rollup", f"""WITH f AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_linenumber <> 7) AS p, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS s, count(*) FILTER (l_linenumber <> 7 AND l_tax = 0.08) AS faults FROM lineitem GROUP BY 1),
+c AS (SELECT o_orderkey AS record_id, n IS NOT NULL AS r1, p = n AS r2, faults = 0 AS r3,
+  CASE WHEN p = n THEN abs(s - CAST(o_totalprice AS DECIMAL(18,2))) <= 0.02 OR (o_orderkey % 3 = 0 AND abs(s - CASE WHEN o_orderkey % 6 = 0 THEN 4 ELSE 5 END - CAST(o_totalprice AS DECIMAL(18,2))) <= 0.02) END AS r4,
+  CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 6 <> 0 END AS r5, o_orderkey % 5 <> 0 OR abs(CAST(round(CAST(o_totalprice AS DECIMAL(18,6)) / 1.19, 2) AS DOUBLE) + 1.0 - o_totalprice) <= 0.02 AS r6,
+  CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 8 <> 1 END AS r7, {_VAT_OK} AS r8, o_orderkey % 11 <> 0 AS r9 FROM orders LEFT JOIN f ON o_orderkey = l_orderkey),
+t AS (SELECT record_id, len(list_filter([r1, r2, r3, r4, r5, r6, r7, r8, r9], lambda x: NOT x)) AS reviews, len(list_filter([r1, r2, r3, r4, r5, r6, r7, r8, r9], lambda x: x IS NULL)) AS skipped FROM c)
+SELECT record_id, 0::BIGINT AS errors, reviews, skipped, CASE WHEN reviews > 0 THEN 'review_required' ELSE 'valid' END AS status, CASE WHEN reviews > 0 THEN 'needs_review' ELSE 'import' END AS decision FROM t""")(
+    lambda s, d: V.roll_up(_checks(s, d)).select("record_id", "errors", "reviews", "skipped", "status", V.decision(F.col("status")).alias("decision")))
+_WORDS_OF = "list_filter(regexp_split_to_array(t, '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '')"
+_LETTERS = "regexp_replace({0}, '[^A-Za-zÄÖÜäöüß]', '', 'g')"
+_SHORT = "(" + ", ".join(f"'{w}'" for w in C.SHORT_WORDS) + ")"
+query("noisy_description_flags", f"""WITH d AS (SELECT doc_id, substr(trim(coalesce(text, ''), ' '), 1, 240) AS t FROM documents),
+w AS (SELECT *, {_WORDS_OF} AS ws, regexp_replace(t, '[ \\t\\n\\v\\f\\r]+', '', 'g') AS bare FROM d),
+m AS (SELECT *, length(bare) AS size, length(regexp_replace(bare, '[^\\p{{Nd}}]', '', 'g')) AS digits, length(regexp_replace(bare, '[\\p{{L}}\\p{{N}}]', '', 'g')) AS marks, upper({_LETTERS.format("coalesce(ws[len(ws)], '')")}) AS tail FROM w)
+SELECT doc_id, concat_ws('|', CASE WHEN t = '' THEN 'empty_description' END, CASE WHEN t <> '' AND length(t) <= 3 THEN 'very_short_description' END, CASE WHEN t <> '' AND len(ws) = 1 AND length(t) <= 5 THEN 'single_short_token' END,
+  CASE WHEN regexp_matches(t, '[�|§#@~^_<>{{}}\\[\\]]') THEN 'contains_ocr_marker' END,
+  CASE WHEN regexp_matches(bare, '[0-9]{{5,}}') OR (digits >= 4 AND digits / size >= 0.3) OR (marks >= 3 AND marks / size >= 0.2) OR (NOT regexp_matches(bare, '\\p{{L}}') AND digits > 0) OR regexp_matches(bare, '(?:[0-9]+[./-]){{2,}}[0-9]+') THEN 'code_like_or_numeric_description' END,
+  CASE WHEN regexp_matches(t, '[.,:;/-]$') THEN 'truncated_or_punctuation_ending' END, CASE WHEN regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_])[A-Za-zÄÖÜäöüß]{{1,2}}\\.$') THEN 'abbreviated_last_token' END,
+  CASE WHEN len(ws) >= 2 AND len(list_filter(ws, lambda x: length({_LETTERS.format("x")}) <= 2 AND upper(x) NOT IN {_SHORT})) >= 2 THEN 'many_short_tokens' END,
+  CASE WHEN length(tail) BETWEEN 2 AND 3 AND tail NOT IN {_SHORT} AND length(t) > 8 THEN 'truncated_last_token' END) AS reasons FROM m""".replace("\\\\", "\\"))(
+    lambda s, d: read(s, d, "documents").select("doc_id", F.concat_ws("|", C.noise(F.col("text"))).alias("reasons")))
 query("calibration_caps", "SELECT p_partkey, least(0.9, CASE WHEN p_partkey % 4 = 1 THEN 0.75 ELSE 1 END, CASE WHEN p_partkey % 3 <> 0 THEN 0.8 ELSE 1 END, CASE WHEN p_partkey % 3 = 2 THEN 0.6 ELSE 1 END, CASE WHEN p_partkey % 5 = 0 THEN 0.6 ELSE 1 END, CASE WHEN p_partkey % 6 = 0 THEN 0.35 ELSE 1 END)::DOUBLE AS calibrated FROM part")(lambda s, d: _calibrated(s, d).select("p_partkey", "calibrated"))
 
 
@@ -346,28 +397,55 @@ query("canonical_rows_explode", r"SELECT doc_id, CAST(row_number() OVER (PARTITI
 
 
 def _matches(s, d) -> DataFrame:
-    rows = E.canonical_rows(read(s, d, "documents")).where(F.length("line") <= 200)
-    names = rows.where(F.col("row_no") % 3 == 1).select("doc_id", F.col("row_no").alias("item_index"), F.lower("line").alias("name"))
-    return E.match_items(names, rows.select("doc_id", "row_no", "line"))
-
-
-query("ordered_fuzzy_match")(_matches)
+    rows = E.canonical_rows(read(s, d, "documents"))
+    names = rows.where(F.col("row_no") % 3 == 1).select("doc_id", F.col("row_no").alias("item_index"), F.upper("line").alias("name"))
+    return E.match_items(names, rows.select("doc_id", "row_no", "line")).select("doc_id", "item_index", "row_no", "ratio", "method")
+
+
+_FOLD = r"trim(regexp_replace(replace(strip_accents(lower({0})), 'ß', 'ss'), '[^a-z0-9]+', ' ', 'g'))"
+# every name is a row of its document, so each takes the first equal row after the one that the name before it took
+query("ordered_fuzzy_match", r"""WITH RECURSIVE lines AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS INT) AS row_no, line FROM (SELECT doc_id, pos, trim(regexp_replace(l, '[ 	
+
+]+', ' ', 'g')) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)) WHERE line <> ''),
+f AS (SELECT doc_id, row_no, """ + _FOLD.format("line") + r""" AS key FROM lines), keyed AS (SELECT * FROM f WHERE key <> ''),
+names AS (SELECT doc_id, row_no AS item_index, key, row_number() OVER (PARTITION BY doc_id ORDER BY row_no) AS k FROM keyed WHERE row_no % 3 = 1),
+step AS (
+  SELECT doc_id, k, item_index, (SELECT min(row_no) FROM keyed r WHERE r.doc_id = names.doc_id AND r.key = names.key) AS row_no FROM names WHERE k = 1
+  UNION ALL
+  SELECT n.doc_id, n.k, n.item_index, (SELECT min(r.row_no) FROM keyed r WHERE r.doc_id = n.doc_id AND r.key = n.key AND r.row_no > s.row_no) AS row_no FROM step s JOIN names n ON n.doc_id = s.doc_id AND n.k = s.k + 1
+) SELECT doc_id, item_index, row_no, 1.0::DOUBLE AS ratio, 'exact' AS method FROM step""")(_matches)
 query("sequence_ratio")(lambda s, d: FL.similarity(read(s, d, "part").select("p_partkey", "p_name").withColumn("other", F.lit("red bolt")), "p_name", "other"))
-query("guard_decisions")(lambda s, d: _guard_decisions(s))
+#: Queries of planners and whether each is accepted.
+GUARD_CASES = [
+    ("SELECT COUNT(*) AS n FROM analytics_receipts LIMIT 1", True), ("DELETE FROM analytics_receipts", False), ("SELECT * FROM receipts LIMIT 1", False), ("SELECT * FROM analytics_receipts; SELECT 1", False), ("SELECT * FROM analytics_receipts -- x", False),
+    ("SELECT random() AS v FROM analytics_receipts LIMIT 1", False), ("SELECT * FROM analytics_receipts", False), ("SELECT a.* FROM analytics_receipts a, receipts b LIMIT 1", False), ("SELECT 1 AS x LIMIT 1", False),
+    ("SELECT receipt_id FROM analytics_receipts WHERE receipt_id < 0 UNION ALL TABLE secret_ids LIMIT 100", False),
+    ("SELECT a.x FROM (WITH receipts AS (SELECT 1 AS x FROM analytics_receipts) SELECT x FROM receipts) a JOIN receipts b ON 1 = 1 LIMIT 1", False),
+    ("WITH r AS (SELECT * FROM analytics_receipts) SELECT merchant FROM r LIMIT 5", True), ("WITH r AS (SELECT * FROM r2), r2 AS (SELECT * FROM analytics_receipts) SELECT merchant FROM r LIMIT 5", False),
+    ("SELECT merchant FROM analytics_receipts WHERE EXISTS (SELECT 1 FROM receipt_items) LIMIT 5", False), ("SELECT merchant FROM analytics_receipts WHERE receipt_id IN (SELECT receipt_id FROM analytics_purchase_items) LIMIT 5", True),
+    ("SELECT (SELECT max(id) FROM sqlite_master) AS v FROM analytics_receipts LIMIT 1", False), ("SELECT * FROM range(3), analytics_receipts LIMIT 1", False), ("SELECT merchant FROM analytics_receipts LIMIT 101", False),
+    ("SELECT CASE WHEN grand_total > 1 THEN 1 ELSE 0 END AS v FROM analytics_receipts LIMIT 1", True), ("SELECT merchant AS brand FROM analytics_receipts LIMIT 1", False), ("SELECT merchant::text FROM analytics_receipts LIMIT 1", False),
+    ("SELECT row_number() OVER (ORDER BY merchant) AS v FROM analytics_receipts LIMIT 1", False), ("WITH RECURSIVE a AS (SELECT 1 FROM analytics_receipts) SELECT * FROM a LIMIT 1", False),
+    ("SELECT merchant FROM analytics_receipts UNION SELECT merchant FROM analytics_purchase_items LIMIT 9", True), ("SELECT merchant, SUM(grand_total) AS v FROM analytics_receipts GROUP BY merchant HAVING SUM(grand_total) > 5 LIMIT 9", True),
+    ("SELECT merchant FROM analytics_receipts WHERE (merchant = 'a' OR merchant = 'b') AND NOT (grand_total > 3) LIMIT 9", True), ("SELECT a.merchant FROM analytics_receipts a LEFT JOIN analytics_purchase_items b ON (a.receipt_id = b.receipt_id) LIMIT 9", True),
+    ("SELECT strftime('%Y', receipt_date) AS y FROM analytics_receipts LIMIT 9", True), ("SELECT strftime('%Q', receipt_date) AS y FROM analytics_receipts LIMIT 9", False), ("SELECT input_file_name() AS f FROM analytics_receipts LIMIT 1", False),
+    ("SELECT merchant FROM parquet.`/tmp/x`, analytics_receipts LIMIT 1", False), ("SELECT merchant FROM main.analytics_receipts LIMIT 1", False), ("SELECT x FROM analytics_receipts LATERAL VIEW explode(array(1)) t AS x LIMIT 1", False), ("SELECT drop FROM analytics_receipts LIMIT 1", False),
+    ("INSERT INTO analytics_receipts SELECT * FROM analytics_receipts", False), ("SELECT merchant FROM analytics_receipts WHERE merchant = ? LIMIT 1", False), ("SELECT merchant FROM analytics_receipts WHERE merchant = :m LIMIT 1", False), ("SELECT (merchant FROM analytics_receipts LIMIT 1", False),
+]
 
 
 def _guard_decisions(s) -> DataFrame:
-    cases = ["SELECT COUNT(*) AS n FROM analytics_receipts LIMIT 1", "DELETE FROM analytics_receipts", "SELECT * FROM receipts LIMIT 1", "SELECT * FROM analytics_receipts; SELECT 1", "SELECT * FROM analytics_receipts -- x", "SELECT random() AS v FROM analytics_receipts LIMIT 1", "SELECT * FROM analytics_receipts", "SELECT a.* FROM analytics_receipts a, receipts b LIMIT 1"]
     out = []
-    for c in cases:
+    for sql, _ in GUARD_CASES:
         try:
-            G.validate(G.Plan(c))
-            out.append((c, True, ""))
-        except G.GuardError as e:
-            out.append((c, False, str(e)))
-    return s.createDataFrame(out, "sql string, accepted boolean, reason string")
+            G.validate(G.Plan(sql))
+            out.append((sql, True))
+        except G.GuardError:
+            out.append((sql, False))
+    return s.createDataFrame(out, "sql string, accepted boolean")
 
 
+query("guard_decisions", "SELECT * FROM (VALUES " + ", ".join("('" + sql.replace("'", "''") + f"', {str(ok).lower()})" for sql, ok in GUARD_CASES) + ") c(sql, accepted)")(lambda s, d: _guard_decisions(s))
 query("approval_predicate", "SELECT receipt_id FROM receipts WHERE lower(review_status) IN ('approved', 'accepted', 'complete', 'completed')", True)(lambda s, d: star_receipts(s, d).where(approved(F.col("review_status"))).select("receipt_id"))
 
 

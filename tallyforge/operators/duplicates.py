@@ -36,16 +36,24 @@ def score(a: str = "a", b: str = "b") -> Column:
 def candidate_pairs(records: DataFrame, least: int = CANDIDATE) -> DataFrame:
     """id_a < id_b, score: pairs of at least `least` points, found by equal keys instead of comparing all.
 
-    Without equal files, 70 points need the total, or else merchant, date, time and overlap (85 without the total): so a pair shares its file, its
-    merchant and date, or total with one of merchant and date. Totals a cent apart are met by giving each record both neighbouring cents.
+    Without equal files, 70 points take total, merchant, date and time all together, or an overlap of item names of 0.45 and either the total or merchant and date. Sets that
+    overlap by 0.45 share one of their first n - ceil(0.45 n) + 1 names in any common order, here that of a hash, so a name of that prefix is part of the key and blocks
+    stay small. Totals a cent apart are met by giving each record both neighbouring cents.
     """
     if least < 70:
         raise ValueError("the blocking keys are complete from 70 points on")
     cent = F.round(F.col("grand_total").cast("decimal(18,2)") * 100).cast("long")
     key = lambda kind, *c: F.concat_ws("|", F.lit(kind), *[x.cast("string") for x in c])
-    own = [F.when(F.col("file_sha256") != "", key("f", F.col("file_sha256"))), F.when((F.col("merchant") != "") & (F.col("receipt_date") != ""), key("md", F.col("merchant"), F.col("receipt_date")))]
-    near = [F.when(F.col(c) != "", key(k, F.col(c), cent + d)) for c, k in (("merchant", "mt"), ("receipt_date", "dt")) for d in (0, 1)]
-    keyed = records.withColumn("block", F.explode(F.array_distinct(F.array_compact(F.array(*own, *near)))))
-    pairs = keyed.alias("a").join(keyed.alias("b"), (F.col("a.block") == F.col("b.block")) & (F.col("a.id") < F.col("b.id")))
-    scored = pairs.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), score().alias("score")).where(F.col("score") >= least)
-    return scored.dropDuplicates(["id_a", "id_b"])
+    said = lambda c: F.col(c) != ""
+    names = F.array_distinct(F.coalesce("names", F.array().cast("array<string>")))
+    order = F.array_sort(F.transform(names, lambda x: F.xxhash64(x)))
+    prefix = F.slice(order, F.lit(1), F.when(F.size(order) > 0, F.size(order) - F.ceil(F.size(order) * F.lit(0.45)).cast("int") + 1).otherwise(0))
+    base = records.withColumn("prefix", prefix)
+    alone = F.array_compact(F.array(F.when(said("file_sha256"), key("f", F.col("file_sha256"))), *[F.when(said("merchant") & said("receipt_date") & said("receipt_time"), key("a", cent + d, F.col("merchant"), F.col("receipt_date"), F.col("receipt_time"))) for d in (0, 1)]))
+    each = lambda h: F.array_compact(F.array(F.when(said("merchant") & said("receipt_date"), key("n", F.col("merchant"), F.col("receipt_date"), h)), *[F.when(cent.isNotNull(), key("t", cent + d, h)) for d in (0, 1)]))
+    keyed = base.withColumn("block", F.explode(F.array_distinct(F.concat(alone, F.flatten(F.transform("prefix", each)))))).drop("prefix")
+    slim = keyed.select("id", "block")
+    # ids alone meet in the blocks; records follow for the distinct pairs only
+    pairs = slim.alias("a").join(slim.alias("b"), (F.col("a.block") == F.col("b.block")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+    met = pairs.join(records.alias("a"), F.col("id_a") == F.col("a.id")).join(records.alias("b"), F.col("id_b") == F.col("b.id"))
+    return met.select("id_a", "id_b", score().alias("score")).where(F.col("score") >= least)

@@ -1,12 +1,16 @@
 """Source evidence: numbered rows, ordered matching of rows to items, line clustering, and correction patches."""
+from bisect import bisect_right
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Bounds of a correction.
-MOST_REPLACED, MOST_INSERTED, LEAST_COVERED, NAME_SCORE, NAME_MARGIN = 8, 4, 0.60, 0.88, 0.08
+from .filters import fold_value
+
+# Bounds of a correction; least ratio of a name, where the item has no price, and by how much the best must lead.
+MOST_REPLACED, MOST_INSERTED, LEAST_COVERED, NAME_SCORE, UNPRICED_SCORE, NAME_MARGIN = 8, 4, 0.60, 0.92, 0.88, 0.08
 
 
 def canonical_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -27,40 +31,86 @@ def missing_evidence(claims: DataFrame, rows: DataFrame) -> DataFrame:
     return found.where(F.col("line").isNull() | ~F.contains("line", "literal")).select("doc_id", "row_id", "literal")
 
 
-def match_in_order(names: list[str], rows: list[str], least: float = NAME_SCORE, margin: float = NAME_MARGIN) -> list[tuple[int, int, float]]:
-    """Pairs (name, row), one to one and in the same order, with the greatest total of ratios that reach `least`; names whose two best rows are within the margin are left out."""
-    ratio = [[SequenceMatcher(None, a.lower(), b.lower()).ratio() for b in rows] for a in names]
-    for line in ratio:
-        best = sorted(line, reverse=True)[:2]
-        clear = len(best) < 2 or best[0] - best[1] >= margin
-        line[:] = [r if r >= least and (clear or r < best[0]) and r == best[0] else 0.0 for r in line]
-    n, m = len(names), len(rows)
-    total = [[0.0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            take = ratio[i][j] + total[i + 1][j + 1] if ratio[i][j] else -1.0
-            total[i][j] = max(total[i + 1][j], total[i][j + 1], take)
-    out, i, j = [], 0, 0
-    while i < n and j < m:
-        if ratio[i][j] and total[i][j] == ratio[i][j] + total[i + 1][j + 1]:
-            out.append((i, j, ratio[i][j]))
-            i, j = i + 1, j + 1
-        elif total[i][j] == total[i + 1][j]:
-            i += 1
-        else:
-            j += 1
+def _counts(names: list[str]) -> np.ndarray:
+    """How often each of a-z, 0-9 and space is in each name."""
+    out = np.zeros((len(names), 37), "i4")
+    for i, n in enumerate(names):
+        b = np.frombuffer(n.encode("ascii", "replace"), "u1")
+        at = np.where(b >= 97, b - 97, np.where(b >= 48, b - 22, 36))
+        out[i] = np.bincount(at, minlength=37)[:37]
+    return out
+
+
+def _extends(a: str, b: str) -> bool:
+    """Whether the shorter name's words, two or more, begin the longer one's, which has at most two more."""
+    x, y = sorted((a.split(), b.split()), key=len)
+    return len(x) >= 2 and len(y) - len(x) <= 2 and y[: len(x)] == x
+
+
+def matches(names: list[str], rows: list[str], unpriced: list[bool] | None = None) -> list[tuple[int, int, float, str]]:
+    """(name, row, ratio, method): one to one, rows rising with names. Each name in turn takes, among the rows after the last one taken, the first equal one; else the only one whose words
+    extend its words or the other way round; else the one most alike, if its ratio is high enough (lower where `unpriced` says that the row has no price) and leads the next by the margin.
+
+    Names are compared without case, marks and punctuation. Rows that can't come near the least ratio by their letters are never compared in full, and equal
+    and extending rows are found by keys, so a long document costs little more than its own length for each name that has neither.
+    """
+    names, rows = [fold_value(n) for n in names], [fold_value(r) for r in rows]
+    equal: dict[str, list[int]] = {}
+    begin: dict[tuple, list[int]] = {}
+    for j, r in enumerate(rows):
+        equal.setdefault(r, []).append(j)
+        begin.setdefault(tuple(r.split()[:2]), []).append(j)
+    letters, size = _counts(rows), np.array([len(r) for r in rows])
+    out, last = [], -1
+    for i, (name, own) in enumerate(zip(names, _counts(names), strict=True)):
+        if not name:
+            continue
+        found = equal.get(name, [])
+        k = bisect_right(found, last)
+        if k < len(found):
+            last = found[k]
+            out.append((i, last, 1.0, "exact"))
+            continue
+        found = begin.get(tuple(name.split()[:2]), [])
+        near = [j for j in found[bisect_right(found, last) :] if _extends(name, rows[j])]
+        if len(near) == 1:
+            last = near[0]
+            out.append((i, last, SequenceMatcher(None, name, rows[last]).ratio(), "ordered_token_prefix"))
+            continue
+        # no ratio is above what the common letters allow; only rows within the margin of the least score matter
+        bound = 2.0 * np.minimum(letters[last + 1 :], own).sum(1) / np.maximum(size[last + 1 :] + len(name), 1)
+        best, second, at = 0.0, 0.0, -1
+        for j in np.flatnonzero((bound >= UNPRICED_SCORE - NAME_MARGIN) & (size[last + 1 :] > 0)) + last + 1:
+            r = SequenceMatcher(None, name, rows[j]).ratio()
+            if r >= best:  # of equal ones the last; they don't lead anyway
+                best, second, at = r, best, int(j)
+            elif r > second:
+                second = r
+        loose = at >= 0 and unpriced is not None and unpriced[at]
+        if at >= 0 and best >= (UNPRICED_SCORE if loose else NAME_SCORE) and best - second >= NAME_MARGIN:
+            last = at
+            out.append((i, at, best, "missing_price_fuzzy_unique" if loose else "fuzzy_unique"))
     return out
 
 
-def match_items(items: DataFrame, rows: DataFrame, least: float = NAME_SCORE) -> DataFrame:
-    """items: doc_id, item_index, name; rows: doc_id, row_no, line. A record's rows are one group: records are small, however many there are."""
+def match_in_order(names: list[str], rows: list[str], unpriced: list[bool] | None = None) -> list[tuple[int, int, float]]:
+    """`matches` without the methods."""
+    return [m[:3] for m in matches(names, rows, unpriced)]
+
+
+def match_items(items: DataFrame, rows: DataFrame) -> DataFrame:
+    """items: doc_id, item_index, name; rows: doc_id, row_no, line, and unpriced (boolean) if known. doc_id, item_index, row_no, ratio, method. A record's rows are one group: records are small, however many there are."""
+    if "unpriced" not in rows.columns:
+        rows = rows.withColumn("unpriced", F.lit(False))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left, right = left.sort_values("item_index"), right.sort_values("row_no")
-        got = match_in_order(left["name"].fillna("").tolist(), right["line"].fillna("").tolist(), least)
-        return pd.DataFrame({"doc_id": [left["doc_id"].iloc[0]] * len(got) if len(left) else [], "item_index": [left["item_index"].iloc[i] for i, _, _ in got], "row_no": [right["row_no"].iloc[j] for _, j, _ in got], "ratio": [r for *_, r in got]})
+        got = matches(left["name"].fillna("").tolist(), right["line"].fillna("").tolist(), right["unpriced"].fillna(False).tolist())
+        return pd.DataFrame({
+            "doc_id": [left["doc_id"].iloc[0]] * len(got) if len(left) else [], "item_index": [left["item_index"].iloc[g[0]] for g in got], "row_no": [right["row_no"].iloc[g[1]] for g in got], "ratio": [g[2] for g in got], "method": [g[3] for g in got],
+        })
 
-    return items.groupBy("doc_id").cogroup(rows.groupBy("doc_id")).applyInPandas(run, "doc_id long, item_index int, row_no int, ratio double")
+    return items.groupBy("doc_id").cogroup(rows.groupBy("doc_id")).applyInPandas(run, "doc_id long, item_index int, row_no int, ratio double, method string")
 
 
 def cluster_lines(boxes: DataFrame, overlap: float = 0.5, look_back: int = 4) -> DataFrame:
