@@ -66,6 +66,18 @@ class Scratch:
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: A table of one row a key (some hundred bytes) is broadcast up to so many keys. Beyond, rows are dealt by key and salt, so that no hot key meets in one task.
+BROADCAST_KEYS, SALTS = 100_000, 64
+
+
+def by_key(rows: DataFrame, small: DataFrame, keys: int, key: str = "key", how: str = "inner", salt: list[str] | None = None) -> DataFrame:
+    """rows joined with a table of one row a key: broadcast if `keys`, the counted number of keys, allows it, else dealt by key and a salt, the hash of all columns or of those named."""
+    if keys <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(small), key, how)
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*(salt or rows.columns)), F.lit(SALTS)).cast("int"))
+    return salted.join(small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge"), [key, "salt"], how).drop("salt")
+
+
 def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 100) -> DataFrame:
     """Connected components of edges (a, b) of one orderable type: a row (node, root) for every node of an edge, root the smallest of its component.
 

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, n_words, running, unit_hash
+from .common import Scratch, by_key, n_words, running, unit_hash
 
 WEIGHTS = [1.0, 2.0, 3.0]
 #: A source is solved when its expected words are within this share of the target, and filled when its whole copies are.
@@ -58,8 +58,8 @@ def _rate(most: float) -> Column:
     return F.when(F.col("tilt").isNull() | (F.col("size") <= 0), 1.0).otherwise(F.least(F.lit(float(most)), F.exp(x)))
 
 
-def solve(sizes: DataFrame, sources: DataFrame, scratch: Scratch, most: float) -> DataFrame:
-    """Adds mean and tilt (lambda) to sources (sid, size, docs, target). sizes: sid, size, n (documents of that size). Raises if a source isn't solved after ROUNDS steps."""
+def solve(sizes: DataFrame, sources: DataFrame, scratch: Scratch, most: float, n: int) -> DataFrame:
+    """Adds mean and tilt (lambda) to sources (sid, size, docs, target), n of them. sizes: sid, size, n (documents of that size). Raises if a source isn't solved after ROUNDS steps."""
     size, target = F.col("size"), F.col("target")
     full, none = target >= size * F.lit(most * (1 - 1e-12)), target <= 0
     begin = F.when(size == 0, 0.0).when(none, F.lit(-20 * FAR)).when(full, F.lit(20 * FAR)).otherwise(F.log(F.greatest(target, F.lit(1e-300)) / F.greatest(size, F.lit(1))))
@@ -71,10 +71,10 @@ def solve(sizes: DataFrame, sources: DataFrame, scratch: Scratch, most: float) -
         if state.where("open").isEmpty():  # a look at a written table
             return state.select("sid", "source_size", "target", "mean", "tilt")
         inner = F.when(rate < most, rate).otherwise(0.0)
-        met = sizes.join(state.where("open").select("sid", "tilt", "mean"), "sid")
+        met = by_key(sizes, state.where("open").select("sid", "tilt", "mean"), n, "sid")
         sums = met.groupBy("sid").agg(exact(F.col("n") * rate * size).alias("g"), exact(F.col("n") * inner * size * size / F.col("mean")).alias("h"))
         miss = F.col("g") - target
-        now = state.join(sums, "sid", "left").withColumn("done", ~F.col("open") | (F.abs(miss) <= EXACT * target))
+        now = by_key(state, sums, n, "sid", "left", ["sid"]).withColumn("done", ~F.col("open") | (F.abs(miss) <= EXACT * target))
         now = now.withColumn("low2", F.when(miss > 0, F.col("low")).otherwise(F.col("tilt"))).withColumn("high2", F.when(miss > 0, F.col("tilt")).otherwise(F.col("high")))
         step = F.when(F.col("h") > 0, F.col("tilt") - miss / F.col("h"))
         step = F.when((step > F.col("low2")) & (step < F.col("high2")) & (F.abs(step - F.col("tilt")) < 20), step).otherwise((F.col("low2") + F.col("high2")) / 2)
@@ -93,14 +93,14 @@ def _queue(rate: Column) -> Column:
     return F.when(rest > 0, F.col("h") / rest)
 
 
-def round_rates(slim: DataFrame, params: DataFrame, scratch: Scratch, most: float) -> DataFrame:
+def round_rates(slim: DataFrame, params: DataFrame, scratch: Scratch, most: float, n: int) -> DataFrame:
     """Adds to params who gets one more copy: `limits`, an array of (key, size): documents before the key and up to the size, and `also`, the key of one document more (or null).
 
     The documents of a source are numbered in words by their place in the queue, in ranges, so a hot source is split. The first limit is where the words reach the target.
     Then documents of at most half of what is missing go on from there, again and again, so that what is missing halves each time; at last the one document that comes nearest, if it helps.
     """
     rate = _rate(most)
-    rated = slim.join(params.select("sid", "tilt", "mean"), "sid").where("size > 0").select("sid", "size", F.floor(rate).alias("whole"), _queue(rate).alias("key"))
+    rated = by_key(slim, params.select("sid", "tilt", "mean"), n, "sid", salt=["h"]).where("size > 0").select("sid", "size", F.floor(rate).alias("whole"), _queue(rate).alias("key"))
     rated = scratch.cut(rated)
     base = rated.groupBy("sid").agg(F.sum(F.col("whole") * F.col("size")).alias("base"))
     limit = "array<struct<key:double,size:bigint>>"
@@ -109,13 +109,13 @@ def round_rates(slim: DataFrame, params: DataFrame, scratch: Scratch, most: floa
     queue = rated.where("key is not null").select("sid", "size", "key")
     while True:
         look = state.where("open").select("sid", "need", F.col("key").alias("from"), "most_size")
-        rows = scratch.cut(queue.join(look, "sid").where("key >= from and size <= most_size").select("sid", "key", "size", "need"))
+        rows = scratch.cut(by_key(queue, look, n, "sid").where("key >= from and size <= most_size").select("sid", "key", "size", "need"))
         line = running(rows, ["sid", "key", "size"], "size", scratch, _tasks(rows))
         starts = line.groupBy("sid").agg(F.min("before").alias("start"))
-        over = line.join(starts, "sid").where(F.col("before") - F.col("start") + F.col("size") > F.col("need")).groupBy("sid").agg(F.min("key").alias("at"))
+        over = by_key(line, starts, n, "sid").where(F.col("before") - F.col("start") + F.col("size") > F.col("need")).groupBy("sid").agg(F.min("key").alias("at"))
         ends = rows.groupBy("sid").agg(F.lit(True).alias("met")).join(over, "sid", "left").select("sid", F.coalesce("at", F.lit(float("inf"))).alias("at"))
         ends = scratch.cut(ends)
-        took = rows.join(ends, "sid").where("key < at").groupBy("sid").agg(F.sum("size").alias("took"))
+        took = by_key(rows, ends, n, "sid").where("key < at").groupBy("sid").agg(F.sum("size").alias("took"))
         new = state.join(ends, "sid", "left").join(took, "sid", "left")
         met = F.col("open") & F.col("at").isNotNull()
         left = F.col("need") - F.coalesce("took", F.lit(0))
@@ -130,23 +130,24 @@ def round_rates(slim: DataFrame, params: DataFrame, scratch: Scratch, most: floa
             break
     short = state.where(F.col("need") > NEAR * F.col("target")).select("sid", "need", F.col("limits").alias("have"))
     near = F.abs(F.col("size") - F.col("need"))
-    spare = queue.join(short, "sid").where(~F.exists("have", lambda x: (F.col("key") < x["key"]) & (F.col("size") <= x["size"]))).where(near < F.col("need"))
+    spare = by_key(queue, short, n, "sid", salt=["key", "size"]).where(~F.exists("have", lambda x: (F.col("key") < x["key"]) & (F.col("size") <= x["size"]))).where(near < F.col("need"))
     best = spare.groupBy("sid").agg(F.min(F.struct(near.alias("miss"), "key")).alias("best")).select("sid", F.col("best.key").alias("also"))
     return scratch.cut(params.join(state.select("sid", "limits"), "sid", "left").join(best, "sid", "left"))
 
 
-def fit(docs: DataFrame, scratch: Scratch, weights: list[float], most: float) -> tuple[DataFrame, DataFrame]:
-    """Slim rows (doc_id, source, sid, size, h), and a row for each source: sid, source_size, target, mean, tilt, limits, also. Both written."""
+def fit(docs: DataFrame, scratch: Scratch, weights: list[float], most: float) -> tuple[DataFrame, DataFrame, int]:
+    """Slim rows (doc_id, source, sid, size, h), a row for each source (sid, source_size, target, mean, tilt, limits, also), both written, and the number of sources."""
     slim = scratch.cut(docs.select("doc_id", "source", sid().alias("sid"), n_words().alias("size"), unit_hash("doc_id", "text").alias("h")))
     sizes = scratch.cut(slim.groupBy("sid", "source", "size").agg(F.count("*").alias("n")))
     sources = scratch.cut(sizes.groupBy("sid", "source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("docs")))
-    params = solve(sizes, targets(sources, scratch, weights, most), scratch, most)
-    return slim, round_rates(slim, params, scratch, most)
+    n = sources.count()
+    params = solve(sizes, targets(sources, scratch, weights, most), scratch, most, n)
+    return slim, round_rates(slim, params, scratch, most, n), n
 
 
-def _copies(rows: DataFrame, params: DataFrame, most: float) -> DataFrame:
-    """rows with source_size, target, rate and copies. A table of sources that is small is broadcast by Spark itself; else a hot source splits like any skewed join."""
-    out = rows.join(params, "sid", "left")
+def _copies(rows: DataFrame, params: DataFrame, most: float, n: int) -> DataFrame:
+    """rows with source_size, target, rate and copies."""
+    out = by_key(rows, params, n, "sid", "left", ["h"])
     rate = _rate(most)
     key = _queue(rate)
     extra = (F.exists("limits", lambda x: (key < x["key"]) & (F.col("size") <= x["size"]))) | (key == F.col("also"))
@@ -159,13 +160,13 @@ def mix(docs: DataFrame, weights: list[float] | None = None, most: float = 3.0)
     A null source is a source of its own. Documents without words are taken once; a source without words has target 0. Repeated rows get
     the same rate and, as their hashes are equal, the same copies. Reruns agree: hashes depend on doc_id and text, sums are exact. Other columns aren't read; an empty table gives an empty result.
     """
-    slim, params = fit(docs, Scratch(docs.sparkSession, "mixing"), weights or WEIGHTS, most)
-    return _copies(slim, params, most).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    slim, params, n = fit(docs, Scratch(docs.sparkSession, "mixing"), weights or WEIGHTS, most)
+    return _copies(slim, params, most, n).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def apply_mix(docs: DataFrame, weights: list[float] | None = None, most: float = 3.0) -> DataFrame:
     """The documents of the mix, each as often as its copies say, all columns kept whatever their names."""
-    _, params = fit(docs, Scratch(docs.sparkSession, "mixing"), weights or WEIGHTS, most)
+    _, params, n = fit(docs, Scratch(docs.sparkSession, "mixing"), weights or WEIGHTS, most)
     rows = docs.select(F.struct("*").alias("row"), sid().alias("sid"), n_words().alias("size"), unit_hash("doc_id", "text").alias("h"))
-    taken = _copies(rows, params, most).where("copies > 0")
+    taken = _copies(rows, params, most, n).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

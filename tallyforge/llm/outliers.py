@@ -7,7 +7,7 @@ those in the nearest bins. The reweighted estimate gives the Mahalanobis distanc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch
+from .common import SPACES, Scratch, by_key
 
 SPACE_CHARS = " \t\n\u000b\f\r"
 SYMBOLS = "[#*$%&|<>]"
@@ -15,8 +15,6 @@ SYMBOLS = "[#*$%&|<>]"
 SHARE, LEAST = 0.5, 50
 #: Concentration steps end when no group's log determinant falls by more than this. It has a lower bound (the floors), so they do end.
 SETTLED = 1e-3
-#: So many groups' estimates (about 200 bytes each) are broadcast at most. Beyond, rows are dealt by group and salt, so that no hot group meets in one task.
-BROADCAST_KEYS, SALTS = 100_000, 64
 #: Least standard deviation of each transformed statistic: what varies less than this isn't told apart.
 FLOOR = {"x_words": 0.25, "x_length": 0.025, "x_symbols": 0.1, "x_lines": 0.06, "x_repeat": 0.08}
 NAMES = list(FLOOR)
@@ -123,14 +121,6 @@ def _standardised() -> list[Column]:
     return ys
 
 
-def by_key(rows: DataFrame, small: DataFrame, keys: int, key: str = "key", how: str = "inner") -> DataFrame:
-    """rows joined with a table of one row a key: broadcast if `keys`, the counted number of keys, allows it, else dealt by key and salt."""
-    if keys <= BROADCAST_KEYS:
-        return rows.join(F.broadcast(small), key, how)
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
-    return salted.join(small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge"), [key, "salt"], how).drop("salt")
-
-
 def with_distance(rows: DataFrame, params: DataFrame, keys: int) -> DataFrame:
     """Adds d2. params has one row a key."""
     keep = rows.columns

@@ -13,7 +13,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tallyforge.llm import bpe, langid, mixing, neardup, ordering, outliers, sharding, simhash, urlfilter, zstdclass
+from tallyforge.llm import bpe, common, langid, mixing, neardup, ordering, outliers, sharding, simhash, urlfilter, zstdclass
 from tallyforge.llm.common import Scratch, components, running
 from tallyforge.llm.queries import RULES
 
@@ -425,9 +425,13 @@ def test_distances_against_numpy(spark):
 
 
 def test_salted_join_gives_the_same(spark, corpus, monkeypatch):
-    want = Counter(map(str, outliers.judge(documents(spark, corpus)).collect()))
-    monkeypatch.setattr(outliers, "BROADCAST_KEYS", 0)
-    assert Counter(map(str, outliers.judge(documents(spark, corpus)).collect())) == want
+    def results():
+        docs = documents(spark, corpus)
+        return Counter(map(str, outliers.judge(docs).collect())), Counter(map(str, mixing.mix(docs).collect())), mixing.apply_mix(docs).count()
+
+    want = results()
+    monkeypatch.setattr(common, "BROADCAST_KEYS", 0)
+    assert results() == want
 
 
 @pytest.mark.parametrize("kind", ["copies", "scattered"])
