@@ -558,3 +558,7 @@ def _json_patches(s, d) -> DataFrame:
         F.when(k % 4 == 1, F.array(F.lit(2), F.lit(0))).alias("indices"), F.lit("7.5").alias("value"), F.lit("printed").alias("reason"))
     done = P.apply_patches(docs, patch, P.Target(P.OPERATIONS, ["/totals/final"], ["/items"]))
     return done.select("doc_id", "status", F.get_json_object("json", "$.totals.final").cast("double").alias("total"), F.size(F.from_json(F.get_json_object("json", "$.items"), "array<int>")).alias("n_items"))
+
+from . import catalog_review  # noqa: E402
+
+catalog_review.add(query)

@@ -132,6 +132,21 @@ def condition(f: QueryFilter, r: Resolved, column: str) -> Column:
     return one[f.operator]() if f.operator in one else c.isin(v)
 
 
+def compare(column: str, operator: str, values: list | None = None) -> Column:
+    """A condition of the planner's language: eq, neq, in, not_in, contains (any case), gt, gte, lt, lte, between, is_null, not_null. A null value fits none but is_null."""
+    c, v = F.col(column), list(values or [])
+    most = {"is_null": 0, "not_null": 0, "between": 2}.get(operator, len(v) if operator in ("in", "not_in") else 1)
+    if len(v) != most or (operator in ("in", "not_in") and not v):
+        raise ValueError(f"{operator} takes {most or 'no' if operator not in ('in', 'not_in') else 'some'} values")
+    conditions = {
+        "eq": lambda: c == v[0], "neq": lambda: c != v[0], "in": lambda: c.isin(v), "not_in": lambda: ~c.isin(v), "contains": lambda: F.contains(F.lower(c), F.lower(F.lit(v[0]))), "gt": lambda: c > v[0], "gte": lambda: c >= v[0],
+        "lt": lambda: c < v[0], "lte": lambda: c <= v[0], "between": lambda: c.between(v[0], v[1]), "is_null": lambda: c.isNull(), "not_null": lambda: c.isNotNull(),
+    }
+    if operator not in conditions:
+        raise ValueError(f"operator {operator} isn't known")
+    return conditions[operator]()
+
+
 def similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Ratcliff/Obershelp ratio of two columns: no built-in measures it. For short catalog texts."""
 

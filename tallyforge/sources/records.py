@@ -55,6 +55,19 @@ def delete_receipts(receipts: DataFrame, items: DataFrame, ids: DataFrame) -> tu
     return receipts.join(ids, "receipt_id", "left_anti"), items.join(ids, "receipt_id", "left_anti")
 
 
+def delete_counts(receipts: DataFrame, items: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row: receipts and items that a deletion of these ids takes away."""
+    r = receipts.join(ids, "receipt_id", "left_semi").agg(F.count("*").alias("receipts"))
+    return r.crossJoin(items.join(ids, "receipt_id", "left_semi").agg(F.count("*").alias("items")))  # one row each
+
+
+def reopen(queue: DataFrame, ids: DataFrame) -> DataFrame:
+    """Queue rows whose receipt was deleted wait for review again, without a receipt."""
+    gone = queue.join(ids.withColumn("_gone", F.lit(True)), "receipt_id", "left")
+    new = {"receipt_id": F.when(F.col("_gone").isNull(), F.col("receipt_id")), "queue_status": F.when(F.col("_gone"), "needs_review").otherwise(F.col("queue_status"))}
+    return gone.select(*[new.get(c, F.col(c)).alias(c) for c in queue.columns])
+
+
 def append_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
@@ -64,9 +77,11 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def append_once(log: DataFrame, new: DataFrame, key: str = "call_id") -> DataFrame:
-    """New completed calls whose key isn't in the log yet, one row a key."""
-    return new.where(F.col(key).isNotNull()).dropDuplicates([key]).join(log.select(key), key, "left_anti")
+def append_once(log: DataFrame, new: DataFrame, key: str = "call_id", order: str | None = None) -> DataFrame:
+    """New calls whose key isn't in the log yet, one row a key: the last by `order`, else the greatest row, so that reruns agree. Only completed model calls belong here; a null key doesn't."""
+    rows = new.where(F.col(key).isNotNull())
+    best = rows.groupBy(key).agg(F.max(F.struct(*([order] if order else []), *[c for c in new.columns if c not in (key, order)])).alias("_row"))
+    return best.select(*[F.col(c) if c == key else F.col(f"_row.{c}").alias(c) for c in new.columns]).join(log.select(key), key, "left_anti")
 
 
 def decode_vector(c: Column) -> Column:
