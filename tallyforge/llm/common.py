@@ -1,12 +1,12 @@
 """What the operators share: written intermediate tables, connected components, running totals, row hashes."""
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import Scratch
+
 #: Words are runs of anything but these characters (space, tab, line feed, vertical tab, form feed, return).
 SPACES = "\\x20\\x09-\\x0D"
 
@@ -15,20 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset a local master gets a folder of its own; a cluster must name one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    import tempfile
-
-    root = f"file://{tempfile.mkdtemp(prefix='tallyforge-')}"
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
 def text_of(batch: pa.RecordBatch, path: str) -> pa.Array:
     """The column at a path like text or row.text."""
     first, *rest = path.split(".")
@@ -38,34 +24,6 @@ def text_of(batch: pa.RecordBatch, path: str) -> pa.Array:
     return col
 
 
-class Scratch:
-    """Intermediate tables in the shared folder: they cut lineage and outlive executors. release() deletes those no longer read."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_root(spark)}/tallyforge/{name}-{uuid.uuid4().hex}"
-        self.n, self.paths = 0, {}
-
-    def path(self) -> str:
-        self.n += 1
-        return f"{self.root}/{self.n}"
-
-    def cut(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
-        path = self.path()
-        w = df.write.option("compression", "zstd")
-        (w.partitionBy(partition_by) if partition_by else w).parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = (out, path)
-        return out
-
-    def release(self, *frames: DataFrame) -> None:
-        for df in frames:
-            _, path = self.paths.pop(id(df), (None, None))
-            if path:
-                jvm = self.spark._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 #: A table of one row a key (some hundred bytes) is broadcast up to so many keys. Beyond, rows are dealt by key and salt, so that no hot key meets in one task.
 BROADCAST_KEYS, SALTS = 100_000, 64
 
