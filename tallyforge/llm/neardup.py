@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, components
 from .langid import spherical_kmeans
@@ -26,8 +27,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def cells(n: int) -> int:
-    """Cells for n vectors: the root of n, so that a cell's share grows as slowly as the number of cells."""
-    return int(min(CELLS, max(1, round(math.sqrt(n) / 2))))
+    """Cells for n vectors: one for each block. With more of them a vector visits more cells, and rows cost more than products."""
+    return int(min(CELLS, max(1, n // BLOCK)))
 
 
 def fit(rows: DataFrame, n: int) -> dict[int, np.ndarray]:
@@ -40,7 +41,7 @@ def fit(rows: DataFrame, n: int) -> dict[int, np.ndarray]:
 
 
 def place(rows: DataFrame, centroids: dict[int, np.ndarray], cosine: float) -> DataFrame:
-    """Rows (node, weight, vec) in their own cell (home = cell) and in those where a linked vector may be at home: node, weight, vec, dim, home, cell, probed.
+    """Rows (node, weight, vec) in their own cell (home = cell) and in those where a linked vector may be at home: node, weight, vec, dim, home, cell.
 
     Unit vectors with that cosine are d = sqrt(2 - 2 cosine) apart at most. If x is at home in i and y in j, the plane halfway between the
     centroids lies between them, so one of the two is within d / 2 of it: that one visits the other's cell. No link is lost.
@@ -49,7 +50,7 @@ def place(rows: DataFrame, centroids: dict[int, np.ndarray], cosine: float) -> D
 
     def run(batches):
         for b in batches:
-            node, weight, vec, dim, home, cell, probed = [], [], [], [], [], [], []
+            node, dim, home, cell = [], [], [], []
             values, off = b.column(2).values.to_numpy(zero_copy_only=False).astype("f8"), b.column(2).offsets.to_numpy()
             lens = np.diff(off)
             for d in np.unique(lens):
@@ -66,15 +67,24 @@ def place(rows: DataFrame, centroids: dict[int, np.ndarray], cosine: float) -> D
                     gap = (sims[np.arange(len(part)), own][:, None] - sims) / between[own]
                     gap[np.arange(len(part)), own] = 0
                     r, c = np.nonzero(gap <= reach)
-                    lists = np.split(c, np.searchsorted(r, np.arange(1, len(part))))
-                    node.append(part[r]), home.append(own[r]), cell.append(c), dim.append(np.full(len(r), d)), probed.extend(lists[k] for k in r)
+                    node.append(part[r]), home.append(own[r]), cell.append(c), dim.append(np.full(len(r), d))
             order = np.concatenate(node)
             yield pa.RecordBatch.from_arrays([
                 b.column(0).take(pa.array(order)), b.column(1).take(pa.array(order)), b.column(2).take(pa.array(order)), pa.array(np.concatenate(dim).astype("i4")),
-                pa.array(np.concatenate(home).astype("i4")), pa.array(np.concatenate(cell).astype("i4")), pa.array([p.astype("i4") for p in probed], pa.list_(pa.int32())),
-            ], ["node", "weight", "vec", "dim", "home", "cell", "probed"])
+                pa.array(np.concatenate(home).astype("i4")), pa.array(np.concatenate(cell).astype("i4")),
+            ], ["node", "weight", "vec", "dim", "home", "cell"])
 
-    return rows.select("node", "weight", "vec").where(F.size("vec") > 0).mapInArrow(run, "node long, weight long, vec array<double>, dim int, home int, cell int, probed array<int>")
+    kind = rows.schema["vec"].dataType.simpleString()
+    return rows.select("node", "weight", "vec").where(F.size("vec") > 0).mapInArrow(run, f"node long, weight long, vec {kind}, dim int, home int, cell int")
+
+
+def _beyond(x: np.ndarray, at: np.ndarray, cent: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """How far each x[at] lies on its own centroid's side of the plane to the other's (times the centroids' distance). Summed row by row, so any task gets the same bits."""
+    out = np.empty(len(at))
+    for i in range(0, len(at), 8192):
+        k = slice(i, i + 8192)
+        out[k] = np.add.reduce(np.ascontiguousarray(x[at[k]] * (cent[own[k]] - cent[other[k]])), axis=1)
+    return out
 
 
 def _joined(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -90,12 +100,12 @@ def _joined(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int,
     return list(zip(nodes[moved].tolist(), nodes[label[moved]].tolist(), strict=True))
 
 
-def compare(placed: DataFrame, scratch: Scratch, cosine: float, block: int = BLOCK) -> DataFrame:
+def compare(placed: DataFrame, centroids: dict[int, np.ndarray], cosine: float, block: int = BLOCK) -> DataFrame:
     """Blocked products within cells. Rows (a, b, n): node a has n links more (b null), or a and b are in one component (n null).
 
     A cell's residents and visitors are dealt into blocks by a hash; a task multiplies a block of residents with one block of residents or
     visitors of the same cell. It gives one count for each vector and one edge for each vector that isn't least in its component, never the pairs.
-    A pair that meets in two cells counts in the lower one.
+    A pair of different homes counts in the home of the one that lies farther from the plane between them (of equal ones, the lower cell), where the other surely visits.
     """
     sizes = placed.groupBy("dim", "cell").agg(F.count_if(F.col("home") == F.col("cell")).alias("own"), F.count("*").alias("all"))
     sizes = sizes.where("own > 0 and all > 1").select("dim", "cell", F.ceil(F.col("own") / block).cast("int").alias("rb"), F.ceil(F.col("all") / block).cast("int").alias("ob"))
@@ -103,7 +113,7 @@ def compare(placed: DataFrame, scratch: Scratch, cosine: float, block: int = BLO
     left = rows.where("home = cell").select("*", F.pmod("h", "rb").cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("ob") - 1)).alias("y"), F.lit(True).alias("res"))
     right = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("x"), F.pmod("h", "ob").cast("int").alias("y"), F.lit(False).alias("res"))
     # pmod(h, ob) deals residents and visitors alike, so a resident is in one left and one right block; pairs of residents count where left node < right node
-    cols = ["dim", "cell", "x", "y", "node", "weight", "vec", "home", "probed", "res"]
+    cols = ["dim", "cell", "x", "y", "node", "weight", "vec", "home", "res"]
 
     def run(key, t):
         res = t.column("res").to_numpy(zero_copy_only=False)
@@ -115,12 +125,12 @@ def compare(placed: DataFrame, scratch: Scratch, cosine: float, block: int = BLO
         def side(s):
             vec = s.column("vec").combine_chunks()
             flat = vec.flatten().to_numpy(zero_copy_only=False)
-            return (s.column("node").to_numpy(), s.column("weight").to_numpy(), _unit(flat.reshape(s.num_rows, -1)), s.column("home").to_numpy(), s.column("probed").combine_chunks())
+            return s.column("node").to_numpy(), s.column("weight").to_numpy(), _unit(flat.reshape(s.num_rows, -1).astype("f8")), s.column("home").to_numpy()
 
-        ln, lw, lx, lh, lp = side(lt)
-        rn, rw, rx, rh, _ = side(rt)
+        ln, lw, lx, _ = side(lt)
+        rn, rw, rx, rh = side(rt)
         here = int(t.column("cell")[0].as_py())
-        visits = lp.flatten().to_numpy(), lp.offsets.to_numpy() - lp.offsets[0].as_py()
+        cent = centroids.get(int(t.column("dim")[0].as_py()))
         counts: dict[int, int] = {}
         pa_, pb_ = [], []
         for i in range(0, len(ln), 512):
@@ -128,9 +138,11 @@ def compare(placed: DataFrame, scratch: Scratch, cosine: float, block: int = BLO
             a += i
             same = rh[b] == here
             ok = ~same | (ln[a] < rn[b])  # both at home here: count once
-            for k in np.flatnonzero(~same & (rh[b] < here)):  # the visitor's own cell is lower: if the resident visits it, the pair counts there
-                va = visits[0][visits[1][a[k]] : visits[1][a[k] + 1]]
-                ok[k] = not (va == rh[b[k]]).any()
+            v = np.flatnonzero(~same)
+            if len(v):
+                mine, its = np.full(len(v), here), rh[b[v]]
+                near, far = _beyond(rx, b[v], cent, its, mine), _beyond(lx, a[v], cent, mine, its)
+                ok[v] = (near < far) | ((near == far) & (here < rh[b[v]]))
             pa_.append(a[ok]), pb_.append(b[ok])
         a, b = np.concatenate(pa_), np.concatenate(pb_)
         if not len(a):
@@ -158,12 +170,15 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.95, block: int = BL
     is a component's id unless there is no other; kept is then false.
     """
     scratch = Scratch(embeddings.sparkSession, "neardup")
-    rows = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    single = embeddings.schema["embedding"].dataType.elementType == T.FloatType()  # compared in double precision all the same
+    rows = embeddings.select("vec_id", F.col("embedding").cast(f"array<{'float' if single else 'double'}>").alias("vec"))
     good = rows.where(finite("vec"))
     distinct = scratch.cut(good.groupBy("vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight")).withColumn("node", F.monotonically_increasing_id()))
     n = distinct.count()
-    placed = scratch.cut(place(distinct, fit(distinct, n), cosine))
-    found = scratch.cut(compare(placed, scratch, cosine, block))
+    centroids = fit(distinct, n)
+    placed = scratch.cut(place(distinct, centroids, cosine))
+    found = scratch.cut(compare(placed, centroids, cosine, block))
+    scratch.release(placed)
     comp = components(found.where("b is not null").select("a", "b"), scratch)
     links = found.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     rooted = distinct.join(links, "node", "left").join(comp, "node", "left").select("vec", "least", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
