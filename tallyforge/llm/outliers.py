@@ -4,6 +4,8 @@ DataFrame functions only. Each document has a vector of transformed statistics;
 more of its documents that lie nearest to it, found by concentration steps: distances from the estimate so far, a histogram of them, and the moments of
 those in the nearest bins. The reweighted estimate gives the Mahalanobis distances by which documents are rejected.
 """
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +20,20 @@ SETTLED = 1e-3
 #: Least standard deviation of each transformed statistic: what varies less than this isn't told apart.
 FLOOR = {"x_words": 0.25, "x_length": 0.025, "x_symbols": 0.1, "x_lines": 0.06, "x_repeat": 0.08}
 NAMES = list(FLOOR)
-#: Squared Mahalanobis distance from which on a document is rejected, and that of the reweighting step (0.975 of chi-squared with 5 degrees of freedom).
-CUT, REWEIGHT = 100.0, 12.83
+
+
+def chi_squared(tail: float) -> float:
+    """The value that a chi-squared number with 5 degrees of freedom exceeds with this probability."""
+    low, high = 0.0, 1000.0
+    for _ in range(200):
+        x = (low + high) / 2
+        beyond = math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * (1 + x / 3)
+        low, high = (x, high) if beyond > tail else (low, x)
+    return low
+
+
+#: Squared Mahalanobis distance from which on a document is rejected (one normal document in 10^9 lies beyond), and that of the reweighting step.
+CUT, REWEIGHT = chi_squared(1e-9), chi_squared(0.025)
 #: What the covariance of the nearest half, or of those within REWEIGHT, of a normal sample in 5 dimensions must be multiplied by.
 CONSISTENT, REWEIGHTED = 1.912, 1.055
 
