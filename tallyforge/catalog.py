@@ -309,7 +309,8 @@ for _name, (_sql, _code) in {
     query(_name, _sql)(lambda s, d, c=_code: _checks(s, d, c).select("record_id", "status"))
 query("item_sum_reconciliation", """WITH f AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_linenumber <> 7) AS p, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS s FROM lineitem GROUP BY 1)
 SELECT o_orderkey AS record_id, CASE WHEN n IS NULL OR p <> n THEN 'skipped' WHEN abs(s - CAST(o_totalprice AS DECIMAL(18,2))) <= 0.02 OR (o_orderkey % 3 = 0 AND abs(s - CASE WHEN o_orderkey % 6 = 0 THEN 4 ELSE 5 END - CAST(o_totalprice AS DECIMAL(18,2))) <= 0.02) THEN 'passed' ELSE 'failed' END AS status FROM orders LEFT JOIN f ON o_orderkey = l_orderkey""")(lambda s, d: _checks(s, d, "ITEM_SUM_RECONCILIATION").select("record_id", "status"))
-query("repeated_items", "SELECT l_orderkey AS record_id, count(*) AS repeated FROM (SELECT l_orderkey, l_partkey, l_quantity, CASE WHEN l_linenumber <> 7 THEN l_extendedprice END AS p FROM lineitem GROUP BY ALL HAVING count(*) > 1) GROUP BY 1")(lambda s, d: _facts(s, d).where("repeated > 0").select("record_id", "repeated"))
+query("repeated_items", "SELECT l_orderkey AS record_id, count(*) AS repeated FROM (SELECT l_orderkey, l_linestatus, l_returnflag, floor(l_quantity / 10) FROM lineitem GROUP BY ALL HAVING count(*) > 1) GROUP BY 1")(
+    lambda s, d: V.item_facts(read(s, d, "lineitem").select(F.col("l_orderkey").alias("record_id"), F.col("l_linestatus").alias("name"), F.col("l_returnflag").alias("unit"), F.floor(F.col("l_quantity") / 10).alias("quantity"), F.lit(1.0).alias("final_price"), F.lit(None).cast("double").alias("original_price"), F.lit(None).cast("double").alias("discount_amount"))).where("repeated > 0").select("record_id", "repeated"))
 query("item_discount_faults", "SELECT l_orderkey AS record_id, count(*) FILTER (l_linenumber <> 7 AND l_tax = 0.08) AS discount_faults FROM lineitem GROUP BY 1")(lambda s, d: _facts(s, d).select("record_id", "discount_faults"))
 _VAT_OK = "(o_orderkey % 5 <> 0 OR abs(CAST(round(CAST(round(CAST(o_totalprice AS DECIMAL(18,6)) / 1.19, 2) AS DECIMAL(18,6)) * 0.19, 2) AS DOUBLE) - 1.0) <= 0.02)"
 query("vat_rate_check", f"SELECT o_orderkey AS record_id, CASE WHEN {_VAT_OK} THEN 'passed' ELSE 'failed' END AS status FROM orders")(lambda s, d: _checks(s, d, "VAT_RATE").select("record_id", "status"))
@@ -331,7 +332,7 @@ _LETTERS = "regexp_replace({0}, '[^A-Za-zÄÖÜäöüß]', '', 'g')"
 _SHORT = "(" + ", ".join(f"'{w}'" for w in C.SHORT_WORDS) + ")"
 query("noisy_description_flags", f"""WITH d AS (SELECT doc_id, substr(trim(coalesce(text, ''), ' '), 1, 240) AS t FROM documents),
 w AS (SELECT *, {_WORDS_OF} AS ws, regexp_replace(t, '[ \\t\\n\\v\\f\\r]+', '', 'g') AS bare FROM d),
-m AS (SELECT *, length(bare) AS size, length(regexp_replace(bare, '[^\\p{{Nd}}]', '', 'g')) AS digits, length(regexp_replace(bare, '[\\p{{L}}\\p{{N}}]', '', 'g')) AS marks, upper({_LETTERS.format("coalesce(ws[len(ws)], '')")}) AS tail FROM w)
+m AS (SELECT *, length(bare) AS size, length(regexp_replace(bare, '[^\\p{{Nd}}]', '', 'g')) AS digits, length(regexp_replace(bare, '[\\p{{L}}\\p{{N}}]', '', 'g')) AS marks, upper(replace({_LETTERS.format("coalesce(ws[len(ws)], '')")}, 'ß', 'ss')) AS tail FROM w)
 SELECT doc_id, concat_ws('|', CASE WHEN t = '' THEN 'empty_description' END, CASE WHEN t <> '' AND length(t) <= 3 THEN 'very_short_description' END, CASE WHEN t <> '' AND len(ws) = 1 AND length(t) <= 5 THEN 'single_short_token' END,
   CASE WHEN regexp_matches(t, '[�|§#@~^_<>{{}}\\[\\]]') THEN 'contains_ocr_marker' END,
   CASE WHEN regexp_matches(bare, '[0-9]{{5,}}') OR (digits >= 4 AND digits / size >= 0.3) OR (marks >= 3 AND marks / size >= 0.2) OR (NOT regexp_matches(bare, '\\p{{L}}') AND digits > 0) OR regexp_matches(bare, '(?:[0-9]+[./-]){{2,}}[0-9]+') THEN 'code_like_or_numeric_description' END,

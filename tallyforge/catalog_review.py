@@ -3,6 +3,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import backfill as B
+from .operators import catalogue as CT
 from .operators import categories as C
 from .operators import correction as K
 from .operators import evidence as E
@@ -51,12 +52,12 @@ def _queue(s, d) -> DataFrame:
 def _changed(s, d):
     c = read(s, d, "customer")
     k = F.col("c_custkey")
-    changes = c.select(F.concat(F.lit("job-"), k.cast("string")).alias("job_id"), F.when(F.col("c_acctbal") > 5000, "duplicate_confirmed").when(F.col("c_acctbal") > 0, "dismissed_duplicate").otherwise("approved").alias("status"), F.when(k % 4 == 0, k * 10).alias("receipt_id"), F.lit("2031-01-01").alias("at"))
+    changes = c.select(F.concat(F.lit("job-"), (k * 30).cast("string")).alias("job_id"), F.when(F.col("c_acctbal") > 5000, "duplicate_confirmed").when(F.col("c_acctbal") > 0, "dismissed_duplicate").otherwise("approved").alias("status"), F.when(k % 4 == 0, k * 10).alias("receipt_id"), F.lit("2031-01-01").alias("at"))
     duplicates = read(s, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").alias("n")).select(F.concat(F.lit("job-"), F.col("l_orderkey").cast("string")).alias("job_id"), F.when(F.col("n") > 2, "candidate").otherwise("dismissed").alias("status"), F.lit(None).cast("string").alias("resolved_at"))
     return WF.change_status(_queue(s, d), duplicates, changes)
 
 
-_CHANGES = "changes AS (SELECT 'job-' || c_custkey AS job_id, CASE WHEN c_acctbal > 5000 THEN 'duplicate_confirmed' WHEN c_acctbal > 0 THEN 'dismissed_duplicate' ELSE 'approved' END AS status, CASE WHEN c_custkey % 4 = 0 THEN c_custkey * 10 END AS receipt_id FROM customer)"
+_CHANGES = "changes AS (SELECT 'job-' || c_custkey * 30 AS job_id, CASE WHEN c_acctbal > 5000 THEN 'duplicate_confirmed' WHEN c_acctbal > 0 THEN 'dismissed_duplicate' ELSE 'approved' END AS status, CASE WHEN c_custkey % 4 = 0 THEN c_custkey * 10 END AS receipt_id FROM customer)"
 
 
 def _leases(s, d) -> DataFrame:
@@ -147,6 +148,17 @@ SELECT l.l_orderkey AS record_id, '/items/' || l_linenumber AS path, l_partkey::
     query("revisions", "SELECT conv_id AS job_id, count(*) AS n FROM (SELECT conv_id, turn FROM conversations WHERE turn < 3 GROUP BY ALL UNION SELECT conv_id, max(turn) + 1 FROM conversations WHERE turn < 3 AND conv_id % 2 = 0 GROUP BY 1) GROUP BY 1")(_revisions)
     query("missing_evidence", "SELECT doc_id, 'R0001' AS row_id FROM documents WHERE NOT coalesce(contains((SELECT trim(regexp_replace(l, '[ \\t\\n\\v\\f\\r]+', ' ', 'g')) FROM (SELECT unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS k) WHERE trim(regexp_replace(l, '[ \\t\\n\\v\\f\\r]+', ' ', 'g')) <> '' ORDER BY k LIMIT 1), 'the'), false)")(
         lambda s, d: E.missing_evidence(read(s, d, "documents").select("doc_id", F.lit("R0001").alias("row_id"), F.lit("the").alias("literal")), E.canonical_rows(read(s, d, "documents"))).select("doc_id", "row_id"))
+    query("category_from_item", """WITH i AS (SELECT p_partkey, p_size, CASE WHEN p_size % 7 = 0 THEN 'Balea ' || p_name WHEN p_size % 7 = 1 THEN 'WC-Reiniger' ELSE p_name END AS name FROM part)
+SELECT p_partkey, CASE p_size % 7 WHEN 0 THEN 'personal_care/hygiene' WHEN 1 THEN 'household/cleaning' ELSE CASE WHEN p_size % 3 = 0 THEN 'fashion/unknown' WHEN p_size % 3 = 1 THEN 'fashion/footwear' WHEN p_size % 5 = 0 THEN 'Toys' WHEN p_size % 2 = 0 THEN 'Garden stuff' END END AS category FROM i""")(
+        lambda s, d: read(s, d, "part").select("p_partkey", CT.item_category(F.when(F.col("p_size") % 7 == 0, F.concat(F.lit("Balea "), F.col("p_name"))).when(F.col("p_size") % 7 == 1, "WC-Reiniger").otherwise(F.col("p_name")), [F.lit(""), F.when(F.col("p_size") % 3 == 0, "Clothing-Shoes")], F.when(F.col("p_size") % 3 == 1, "Fashion Footwear").otherwise("Item"), F.when(F.col("p_size") % 5 == 0, "Toys"), F.when(F.col("p_size") % 2 == 0, " Garden stuff").otherwise("discount")).alias("category")))
+    query("query_categories", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'personal_care/hygiene,personal_care/shampoo' WHEN 1 THEN 'personal_care/shampoo' WHEN 2 THEN 'baby/baby_products,pharmacy/medicine' ELSE '' END AS categories FROM part")(
+        lambda s, d: read(s, d, "part").select("p_partkey", F.array_join(CT.query_categories(F.concat(F.col("p_name"), F.when(F.col("p_size") % 4 == 0, " Körperpflege").when(F.col("p_size") % 4 == 1, " Elvital").when(F.col("p_size") % 4 == 2, " Ibuprofen und WINDELN").otherwise(""))), ",").alias("categories")))
+    query("merchant_class", "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'building' WHEN 'MACHINERY' THEN 'fashion_retail' ELSE 'unknown' END AS class FROM customer")(
+        lambda s, d: read(s, d, "customer").select("c_custkey", CT.merchant_key(F.when(F.col("c_mktsegment") == "MACHINERY", "Clothing Shoes").otherwise(F.col("c_mktsegment")), ["building", "fashion_retail"]).alias("class")))
+    query("described_products", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'It is a ' || p_name || '.' WHEN p_type <> 'PROMO' THEN '„' || p_name || '“ ist als ' || lower(p_type) || ' kategorisiert.' END AS said FROM part")(
+        lambda s, d: read(s, d, "part").select("p_partkey", CT.describe("describe_product", F.col("p_name"), F.when(F.col("p_type") == "PROMO", "unknown").otherwise(F.lower("p_type")), F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("It is a "), F.col("p_name"))), F.lit(""), "de").alias("said")))
+    query("brands_in_text", "SELECT p_partkey, concat_ws(',', CASE WHEN list_contains(string_split(p_name, ' '), 'red') THEN 'Red' END, CASE WHEN contains(' ' || p_name || ' ', ' bolt ') THEN 'bolt' END) AS brands FROM part")(
+        lambda s, d: read(s, d, "part").select("p_partkey", F.array_join(CT.brands(F.col("p_name"), ["Red", "bolt", "red bo"]), ",").alias("brands")))
     query("category_coercion", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'unknown' ELSE lower(p_type) END AS category FROM part")(lambda s, d: read(s, d, "part").select("p_partkey", _coerced().alias("category")))
 
 

@@ -80,11 +80,12 @@ def search(docs: DataFrame, doc_id: str, text: str, query: str, aliases: dict[st
     """doc_id, score, path: the best by BM25 over the expanded query's words; if not one document has any of them, by shared words and parts of words."""
     terms = expand_terms(query, aliases or {})
     words = [w for t in terms for w in t.split(" ") if w]
-    full = bm25(docs, doc_id, text, words, limit).withColumn("path", F.lit("full_text"))
-    if not full.isEmpty():
-        return full
-    plain = docs.select(F.col(doc_id).alias("doc_id"), F.round(fallback_score(F.col(text), terms).cast("decimal(18,4)"), 4).cast("double").alias("score"))
-    return plain.where("score > 0").orderBy(F.desc("score"), "doc_id").limit(limit).withColumn("path", F.lit("fallback"))
+    full = bm25(docs, doc_id, text, words, limit).drop("rank").withColumn("path", F.lit("full_text"))
+    score = F.round(fallback_score(F.col(text), terms).cast("decimal(18,4)"), 4).cast("double")
+    plain = docs.select(F.col(doc_id).alias("doc_id"), score.alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(limit).withColumn("path", F.lit("fallback"))
+    # one plan: the few rows of the fallback count only where the full text has none
+    found = full.agg((F.count("*") == 0).alias("_none"))
+    return full.union(plain.crossJoin(F.broadcast(found)).where("_none").drop("_none"))
 
 
 def seed_aliases(catalog: DataFrame, new: DataFrame) -> DataFrame:

@@ -18,7 +18,9 @@ CALL = "call_id string, recorded_at string, provider string, model string, opera
 def read_json_documents(spark: SparkSession, path: str, schema: str, pattern: str = "*.json") -> DataFrame:
     """One document a file, with its path and time; files that aren't JSON are left out."""
     df = spark.read.schema(f"{schema}, _bad string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).json(path)
-    return df.select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("modified")).where("_bad is null").drop("_bad")
+    # a query of the corrupt-record column alone isn't allowed, so it is looked at together with a field
+    first = F.col(df.columns[0])
+    return df.select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("modified")).where(F.col("_bad").isNull() & (first.isNull() | first.isNotNull())).drop("_bad")
 
 
 def newest_per_folder(docs: DataFrame, preferred: str) -> DataFrame:

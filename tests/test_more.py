@@ -93,3 +93,29 @@ def test_reopened_queue(spark):
     q = spark.createDataFrame([("a", 1, "imported"), ("b", 2, "imported"), ("c", None, "rejected")], "job_id string, receipt_id long, queue_status string")
     got = sorted(S.reopen(q, spark.createDataFrame([(1,)], "receipt_id long")).collect())
     assert [tuple(r) for r in got] == [("a", None, "needs_review"), ("b", 2, "imported"), ("c", None, "rejected")]
+
+
+def test_engine(spark, tmp_path):
+    from tallyforge.engine import STAGES, Engine, extract
+    from tallyforge.scratch import Scratch
+
+    for job, name, total, status in (("a", "Seebad", 3.0, "approved"), ("b", "Markt", 9.0, "needs_review")):
+        (tmp_path / job).mkdir()
+        (tmp_path / job / "approved.json").write_text(json.dumps({"job_id": job, "merchant": {"name": name}, "date": "2031-03-04", "currency": "EUR", "totals": {"grand_total": total}, "human_review": {"status": status}, "items": [{"description": "kerze gelb", "line_total": total, "category_key": "light"}]}))
+    e = Engine.from_json(spark, str(tmp_path))
+    e.receipts, e.items = e.receipts.withColumn("merchant_normalized", F.lower("merchant_name")), e.items.withColumn("brand", F.lit(None).cast("string"))
+    assert tuple(e.row_counts().first()) == (2, 2)
+    assert e.ask("SELECT SUM(grand_total) AS v FROM analytics_receipts", shape="scalar", seconds=60).rows == [(3.0,)]
+    assert e.find_items(merchant="SEEBAD", category="Light").count() == 1 and e.find_items(merchant="Markt").count() == 0
+    assert e.search("Kerze").count() == 2 and e.search("kerz").count() == 2  # the second by parts of words
+    assert e.aggregate("sum").first()["value"] == 12.0 and e.list_receipts("total_desc", 1).first()["grand_total"] == 9.0
+    ids = e.receipts.where("job_id = 'a'").select("receipt_id")
+    e.queue = e.receipts.select("job_id", "receipt_id", F.lit("imported").alias("queue_status"), F.lit("2031-01-01").alias("updated_at"))
+    left = e.delete(ids)
+    assert left.receipts.count() == 1 and sorted(r["queue_status"] for r in left.queue.collect()) == ["imported", "needs_review"]
+    assert e.review_queue().count() == 2 and e.queue_buckets().first()["approved"] == 1
+    scratch = Scratch(spark, "extract")
+    out = extract(spark.range(2), {n: (lambda df, n=n: df.withColumn(n, F.lit(1))) for n in STAGES}, scratch.cut)
+    assert out.columns == ["id", *STAGES]
+    with pytest.raises(ValueError, match="missing or unknown"):
+        extract(spark.range(1), {}, scratch.cut)
