@@ -3,7 +3,7 @@
 Document d of source s gets the rate r = min(most, exp(lambda_s * size_d / mean size of s)): of all rates with the source's token target
 those nearest to 1 in relative entropy, under the bound. lambda solves the convex dual, by Newton steps kept inside a bracket; every step
 is one distributed sum for all sources that aren't solved yet. Rates become whole copies: the whole part, and one more for the documents whose hash, over the rest of the
-rate, is least, up to the place where the source's words reach the target; what a long document leaves open there is filled with shorter ones.
+rate, is least, up to the place where the source's words reach the target; what a long document leaves open there is filled with shorter ones, with a copy beyond their rate where there are no others.
 
 Sources stay in tables, as many as there may be; the driver sees sums and counts only.
 """
@@ -93,21 +93,22 @@ def _queue(rate: Column) -> Column:
     return F.when(rest > 0, F.col("h") / rest)
 
 
-def round_rates(slim: DataFrame, params: DataFrame, scratch: Scratch, most: float, n: int) -> DataFrame:
-    """Adds to params who gets one more copy: `limits`, an array of (key, size): documents before the key and up to the size, and `also`, the key of one document more (or null).
+_LIMITS = "array<struct<key:double,size:bigint>>"
+
+
+def _within(limits: str, key: Column) -> Column:
+    """Whether a document with this key is one that the limits take."""
+    return F.coalesce(F.exists(limits, lambda x: (key < x["key"]) & (F.col("size") <= x["size"])), F.lit(False))
+
+
+def _fill(queue: DataFrame, wanted: DataFrame, scratch: Scratch, n: int) -> DataFrame:
+    """queue: sid, size, key (a document's place); wanted: sid, target, need (words). Gives sid, target, need (what is left of it), limits: the documents taken are those before a limit's key and up to its size.
 
-    The documents of a source are numbered in words by their place in the queue, in ranges, so a hot source is split. The first limit is where the words reach the target.
-    Then documents of at most half of what is missing go on from there, again and again, so that what is missing halves each time; at last the one document that comes nearest, if it helps.
+    The documents of a source are numbered in words by their place, in ranges, so a hot source is split. The first limit is where the words reach the need. Then documents of at most
+    half of what is missing go on from there, again and again, so that what is missing halves each time.
     """
-    rate = _rate(most)
-    rated = by_key(slim, params.select("sid", "tilt", "mean"), n, "sid", salt=["h"]).where("size > 0").select("sid", "size", F.floor(rate).alias("whole"), _queue(rate).alias("key"))
-    rated = scratch.cut(rated)
-    base = rated.groupBy("sid").agg(F.sum(F.col("whole") * F.col("size")).alias("base"))
-    limit = "array<struct<key:double,size:bigint>>"
-    state = params.join(base, "sid").select("sid", "target", (F.col("target") - F.col("base")).alias("need"), F.lit(-1.0).alias("key"), F.lit((1 << 62)).cast("long").alias("most_size"), F.array().cast(limit).alias("limits"), F.lit(True).alias("open"))
-    state = scratch.cut(state)
-    queue = rated.where("key is not null").select("sid", "size", "key")
-    while True:
+    state = scratch.cut(wanted.select("sid", "target", "need", F.lit(-1.0).alias("key"), F.floor("need").cast("long").alias("most_size"), F.array().cast(_LIMITS).alias("limits"), (F.col("need") >= 1).alias("open")))
+    while not state.where("open").isEmpty():  # a look at a written table
         look = state.where("open").select("sid", "need", F.col("key").alias("from"), "most_size")
         rows = scratch.cut(by_key(queue, look, n, "sid").where("key >= from and size <= most_size").select("sid", "key", "size", "need"))
         line = running(rows, ["sid", "key", "size"], "size", scratch, _tasks(rows))
@@ -126,17 +127,38 @@ def round_rates(slim: DataFrame, params: DataFrame, scratch: Scratch, most: floa
         ))
         scratch.release(state, rows, ends)
         state = new
-        if state.where("open").isEmpty():
-            break
-    short = state.where(F.col("need") > NEAR * F.col("target")).select("sid", "need", F.col("limits").alias("have"))
+    return state
+
+
+def round_rates(slim: DataFrame, params: DataFrame, scratch: Scratch, most: float, n: int) -> DataFrame:
+    """Adds to params who gets one more copy than its rate's whole part: `limits` of the queue, and `also`, the key of one document more (or null); and who gets still one more, `second`.
+
+    The queue is filled up to the source's target. If that leaves words open, the one document of the queue that comes nearest is taken, if it helps. What is open then, because the
+    rest of the queue is too long, goes to documents with copies left, in the order of their hashes.
+    """
+    rate = _rate(most)
+    rated = scratch.cut(by_key(slim, params.select("sid", "tilt", "mean"), n, "sid", salt=["h"]).where("size > 0").select("sid", "size", "h", F.floor(rate).cast("int").alias("whole"), _queue(rate).alias("key")))
+    base = rated.groupBy("sid").agg(F.sum(F.col("whole") * F.col("size")).alias("base"))
+    queue = rated.where("key is not null").select("sid", "size", "key")
+    state = _fill(queue, params.join(base, "sid").select("sid", "target", (F.col("target") - F.col("base")).alias("need")), scratch, n)
+    out = params.join(state.select("sid", "limits"), "sid", "left")
+    short = state.where(F.col("need") > NEAR * F.col("target")).select("sid", "target", "need", "limits")
+    if short.isEmpty():
+        return scratch.cut(out.select("*", F.lit(None).cast("double").alias("also"), F.array().cast(_LIMITS).alias("second")))
     near = F.abs(F.col("size") - F.col("need"))
-    spare = by_key(queue, short, n, "sid", salt=["key", "size"]).where(~F.exists("have", lambda x: (F.col("key") < x["key"]) & (F.col("size") <= x["size"]))).where(near < F.col("need"))
-    best = spare.groupBy("sid").agg(F.min(F.struct(near.alias("miss"), "key")).alias("best")).select("sid", F.col("best.key").alias("also"))
-    return scratch.cut(params.join(state.select("sid", "limits"), "sid", "left").join(best, "sid", "left"))
+    spare = by_key(queue, short, n, "sid", salt=["key", "size"]).where(~_within("limits", F.col("key"))).where(near < F.col("need"))
+    best = scratch.cut(spare.groupBy("sid").agg(F.min(F.struct(near.alias("miss"), "key", "size")).alias("best")).select("sid", F.col("best.key").alias("also"), F.col("best.size").alias("more")))
+    still = short.join(best, "sid", "left").select("sid", "target", (F.col("need") - F.coalesce("more", F.lit(0))).alias("need"), "limits", "also").where(F.col("need") > NEAR * F.col("target"))
+    still = scratch.cut(still)
+    copies = F.col("whole") + (_within("limits", F.col("key")) | F.coalesce(F.col("key") == F.col("also"), F.lit(False))).cast("int")
+    rest = by_key(rated, still.select("sid", "limits", "also"), n, "sid", salt=["h"]).where(copies < most).select("sid", "size", F.col("h").alias("key"))
+    second = _fill(rest, still.select("sid", "target", "need"), scratch, n)
+    out = out.join(best.select("sid", "also"), "sid", "left").join(second.select("sid", F.col("limits").alias("second")), "sid", "left")
+    return scratch.cut(out.select(*params.columns, "limits", "also", F.coalesce("second", F.array().cast(_LIMITS)).alias("second")))
 
 
 def fit(docs: DataFrame, scratch: Scratch, weights: list[float], most: float) -> tuple[DataFrame, DataFrame, int]:
-    """Slim rows (doc_id, source, sid, size, h), a row for each source (sid, source_size, target, mean, tilt, limits, also), both written, and the number of sources."""
+    """Slim rows (doc_id, source, sid, size, h), a row for each source (sid, source_size, target, mean, tilt, limits, also, second), both written, and the number of sources."""
     slim = scratch.cut(docs.select("doc_id", "source", sid().alias("sid"), n_words().alias("size"), unit_hash("doc_id", "text").alias("h")))
     sizes = scratch.cut(slim.groupBy("sid", "source", "size").agg(F.count("*").alias("n")))
     sources = scratch.cut(sizes.groupBy("sid", "source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("docs")))
@@ -150,8 +172,8 @@ def _copies(rows: DataFrame, params: DataFrame, most: float, n: int) -> DataFram
     out = by_key(rows, params, n, "sid", "left", ["h"])
     rate = _rate(most)
     key = _queue(rate)
-    extra = (F.exists("limits", lambda x: (key < x["key"]) & (F.col("size") <= x["size"]))) | (key == F.col("also"))
-    return out.select(*rows.columns, "source_size", "target", rate.alias("rate"), F.least(F.floor(rate).cast("int") + F.coalesce(extra, F.lit(False)).cast("int"), F.lit(int(most))).alias("copies"))
+    first = F.floor(rate).cast("int") + (_within("limits", key) | F.coalesce(key == F.col("also"), F.lit(False))).cast("int")
+    return out.select(*rows.columns, "source_size", "target", rate.alias("rate"), F.least(first + _within("second", F.col("h")).cast("int"), F.lit(int(most))).alias("copies"))
 
 
 def mix(docs: DataFrame, weights: list[float] | None = None, most: float = 3.0) -> DataFrame:
