@@ -44,3 +44,8 @@ class Scratch:
                 jvm = self.spark._jvm
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    def keep(self, *frames: DataFrame) -> None:
+        """Deletes all tables but these. Nothing that is still lazy may read the others."""
+        held = {id(f) for f in frames}
+        self.release(*[df for df, _ in self.paths.values() if id(df) not in held])
