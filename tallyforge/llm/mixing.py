@@ -164,7 +164,9 @@ def fit(docs: DataFrame, scratch: Scratch, weights: list[float], most: float) ->
     sources = scratch.cut(sizes.groupBy("sid", "source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("docs")))
     n = sources.count()
     params = solve(sizes, targets(sources, scratch, weights, most), scratch, most, n)
-    return slim, round_rates(slim, params, scratch, most, n), n
+    params = round_rates(slim, params, scratch, most, n)
+    scratch.keep(slim, params)
+    return slim, params, n
 
 
 def _copies(rows: DataFrame, params: DataFrame, most: float, n: int) -> DataFrame:

@@ -184,6 +184,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.95, block: int = BL
     rooted = distinct.join(links, "node", "left").join(comp, "node", "left").select("vec", "least", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     full = scratch.cut(rooted.join(least, "root").select("vec", "n_links", "component_id"))
+    scratch.keep(full)
     linked = good.join(full, "vec").select("vec_id", "n_links", "component_id")
     alone = rows.where(~finite("vec")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -207,6 +207,7 @@ def judge(docs: DataFrame, cut: float = CUT, least: int = LEAST) -> DataFrame:
     keys = scratch.cut(sizes.join(pools, "by_lang", "left").select("own", F.when(F.col("n") >= least, F.col("own")).when(F.col("pool") >= least, F.col("by_lang")).otherwise(F.lit("all")).alias("key")))
     n = keys.count()
     params = mcd(by_key(good, keys, n, "own").select("key", *NAMES), scratch, n)
+    scratch.keep(rows, keys, params)
     out = with_distance(by_key(rows, keys, n, "own", "left"), params, n)
     d2 = F.when(~F.col("base_failed"), F.col("d2"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(d2 <= cut, F.lit(True))).alias("kept"), F.sqrt(d2).alias("distance"))

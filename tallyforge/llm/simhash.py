@@ -229,7 +229,8 @@ def near_duplicates(docs: DataFrame, tau: int = 2, width: int = 3, seed: int = 4
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     slim = scratch.cut(with_fingerprints(docs.select("doc_id", "text"), width, seed).select("doc_id", "fp"))
-    found = groups(slim, scratch, tau, cell=cell).select("fp", "component_id")
+    found = scratch.cut(groups(slim, scratch, tau, cell=cell).select("fp", "component_id"))
+    scratch.keep(slim, found)
     return slim.join(found, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")
     )

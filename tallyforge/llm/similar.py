@@ -291,7 +291,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     nodes = scratch.cut(slim.groupBy("name", *sk).agg(F.min("at").alias("id")))  # a set is told apart by 192 bits
     found = scratch.cut(linked(nodes.select("id", *sk), whole.select(F.col("at").alias("id"), "row.text"), scratch))
     named = scratch.cut(nodes.join(found.select(F.col("node").alias("id"), "root"), "id", "left").select("name", *sk, F.coalesce("root", "id").alias("root")))
+    scratch.keep(whole, named)
     rooted = slim.join(named.hint("merge"), ["name", *sk]).select("doc_id", "at", "root")
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("best"))
+    best = scratch.cut(best.select("best.at"))
+    scratch.keep(whole, best)
     # neither side has a bound, so neither is broadcast
-    return whole.join(scratch.cut(best.select("best.at")).hint("merge"), "at", "left_semi").select("row.*")
+    return whole.join(best.hint("merge"), "at", "left_semi").select("row.*")

@@ -110,6 +110,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None
     ends = told.select(F.explode(F.array("src", "dst")).alias("url"))
     spelled = pages.select("url").union(ends).select(F.col("url").alias("a"), address(url).alias("b")).where("b is not null and a <> b")
     comp = scratch.cut(components(told.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(spelled), scratch))
+    scratch.keep(told, comp)
     said = judged.select("url", "fit.verdict").union(ends.select("url", rule_for(rules, host_of(url), path_of(url)).getField("verdict"))).where("verdict is not null and url is not null")
     marks = said.groupBy("url").agg(F.bool_or(F.col("verdict") == "block").alias("block"), F.bool_or(F.col("verdict") == "allow").alias("allow"))
     roots = marks.join(comp, marks["url"] == comp["node"], "left").groupBy(F.coalesce("root", "url").alias("root")).agg(F.bool_or("block").alias("block"), F.bool_or("allow").alias("allow"))
