@@ -271,13 +271,13 @@ def bpe(path: str, pattern: str) -> Bpe:
 def tokenize(docs: DataFrame, path: str, pattern: str, ids_column: bool = False, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Encodes every whole text, then decodes its ids.
 
-    One row for each input row: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array of long). A null text counts
+    One row for each input row: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array of int). A null text counts
     as empty: no ids, and the digests of nothing. Repeated rows and rows with a null doc_id give a row each; other columns are not read,
     whatever their names, unless named in `keep`, which passes them on after doc_id; an empty table gives an empty result. A text of any length is encoded whole, within its own task.
     """
     fields = [T.StructField("doc_id", docs.schema[id_col].dataType), *(docs.schema[c] for c in keep), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if ids_column:
-        fields.append(T.StructField("ids", T.ArrayType(T.LongType())))
+        fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
     def run(batches):
         coder = bpe(path, pattern)
@@ -290,10 +290,10 @@ def tokenize(docs: DataFrame, path: str, pattern: str, ids_column: bool = False,
                     ids_sha.append(hashlib.sha256(ids).hexdigest())
                     text_sha.append(hashlib.sha256(coder.decode(ids)).hexdigest())
                     if ids_column:
-                        kept.append(ids.astype("i8"))
+                        kept.append(ids.astype("i4"))
                 cols = [part.column(0), *part.columns[2:], pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
                 if ids_column:
-                    cols.append(pa.array(kept, pa.list_(pa.int64())))
+                    cols.append(pa.array(kept, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, [f.name for f in fields])
 
     return docs.select(id_col, text_col, *keep).mapInArrow(run, T.StructType(fields))
