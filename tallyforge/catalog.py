@@ -263,7 +263,6 @@ def _hybrid(s, d) -> DataFrame:
     return R.hybrid(c, "red bolt", _vector(s, d), limit=20)
 
 
-query("hybrid_retrieval")(_hybrid)
 query("dedup_representative", "SELECT lower(p_name) AS identity, list_sort(list(p_partkey)) AS item_ids, count(*) AS n, min(p_partkey) AS first_id FROM part GROUP BY 1")(
     lambda s, d: read(s, d, "part").groupBy(T.identity_key(F.col("p_name"), F.col("p_partkey")).alias("identity")).agg(F.sort_array(F.collect_list("p_partkey")).alias("item_ids"), F.count("*").alias("n"), F.min("p_partkey").alias("first_id")))
 query("retrieval_recall_at_k", "WITH r AS (SELECT label AS case_id, vec_id AS item_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rank FROM embeddings), e AS (SELECT label AS case_id, list(vec_id) AS expected FROM embeddings WHERE vec_id % 3 = 0 GROUP BY 1) SELECT e.case_id, count(*) FILTER (rank <= 20 AND list_contains(expected, item_id)) / len(expected) AS recall, count(*) FILTER (rank <= 20 AND list_contains(expected, item_id)) / 20 AS precision, coalesce(1.0::DOUBLE / min(rank) FILTER (rank <= 20 AND list_contains(expected, item_id)), 0.0) AS reciprocal_rank FROM e JOIN r USING (case_id) GROUP BY e.case_id, expected")(lambda s, d: _recall(s, d))
@@ -562,4 +561,4 @@ def _json_patches(s, d) -> DataFrame:
 
 from . import catalog_review  # noqa: E402
 
-catalog_review.add(query)
+catalog_review.add(query, _LEX, _hybrid)

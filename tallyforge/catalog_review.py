@@ -2,13 +2,16 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .operators import answers as AN
 from .operators import backfill as B
 from .operators import catalogue as CT
 from .operators import categories as C
 from .operators import correction as K
 from .operators import evidence as E
 from .operators import filters as FL
+from .operators import index as I
 from .operators import lookup as L
+from .operators import records as RC
 from .operators import reports as RP
 from .operators import retrieval as R
 from .operators import review as Q
@@ -73,8 +76,8 @@ def _pairs(s, d) -> DataFrame:
     return read(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("id_a"), (-F.col("l_partkey")).alias("id_b")).agg(F.max("l_quantity").alias("score"))
 
 
-def add(query) -> None:  # noqa: PLR0915
-    """Registers the queries by the catalog's decorator."""
+def add(query, LEX: str, hybrid_of) -> None:  # noqa: N803, PLR0915
+    """Registers the queries by the catalog's decorator. LEX: the SQL of lexical relevance; hybrid_of: the catalog's hybrid search."""
     query("finalize_review", _FINAL)(lambda s, d: WF.finalize(_reviews(s, d)).select("job_id", "status", "import_decision", "blocked", "override", "import_allowed", F.concat_ws(",", "blocking").alias("blocking")))
     query("finalized_item_status", _FINAL.replace("SELECT job_id, CASE WHEN blocked THEN 'needs_review' ELSE asked END AS status,", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN own <> 'rejected' AND asked = 'approved' AND NOT blocked THEN CASE WHEN own = 'corrected' THEN 'corrected' ELSE 'approved' END WHEN blocked AND own = 'approved' THEN 'needs_review' ELSE own END AS status FROM b JOIN (SELECT *, CASE l_returnflag WHEN 'R' THEN 'rejected' WHEN 'A' THEN 'corrected' ELSE 'approved' END AS own FROM lineitem) ON l_orderkey = job_id --").split("--")[0])(
         lambda s, d: read(s, d, "lineitem").join(WF.finalize(_reviews(s, d)), F.col("l_orderkey") == F.col("job_id")).select("l_orderkey", "l_linenumber", "l_partkey", WF.item_status(F.when(F.col("l_returnflag") == "R", "rejected").when(F.col("l_returnflag") == "A", "corrected").otherwise("approved"), F.col("status"), F.col("blocked")).alias("status")))
@@ -159,6 +162,19 @@ SELECT p_partkey, CASE p_size % 7 WHEN 0 THEN 'personal_care/hygiene' WHEN 1 THE
         lambda s, d: read(s, d, "part").select("p_partkey", CT.describe("describe_product", F.col("p_name"), F.when(F.col("p_type") == "PROMO", "unknown").otherwise(F.lower("p_type")), F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("It is a "), F.col("p_name"))), F.lit(""), "de").alias("said")))
     query("brands_in_text", "SELECT p_partkey, concat_ws(',', CASE WHEN list_contains(string_split(p_name, ' '), 'red') THEN 'Red' END, CASE WHEN contains(' ' || p_name || ' ', ' bolt ') THEN 'bolt' END) AS brands FROM part")(
         lambda s, d: read(s, d, "part").select("p_partkey", F.array_join(CT.brands(F.col("p_name"), ["Red", "bolt", "red bo"]), ",").alias("brands")))
+    query("reason_codes", "SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 5 = 0 THEN 'MISSING_TOTAL' END, CASE WHEN o_orderkey % 3 = 0 OR o_totalprice > 200000 THEN 'SUM' END, CASE WHEN o_orderkey % 2 = 0 THEN 'VAT' END) AS codes FROM orders")(
+        lambda s, d: read(s, d, "orders").select("o_orderkey", F.array_join(Q.reason_codes(F.array_compact(F.array(F.when(F.col("o_orderkey") % 2 == 0, "VAT"), F.when(F.col("o_orderkey") % 3 == 0, "SUM"))), F.when(F.col("o_totalprice") > 200000, F.array(F.lit("SUM"))), F.array_compact(F.array(F.when(F.col("o_orderkey") % 5 == 0, "MISSING_TOTAL")))), ",").alias("codes")))
+    query("queue_upsert", "SELECT coalesce(o_custkey, c_custkey) AS job_id, coalesce(c_name, n) AS draft, coalesce(n, c_name) AS extraction FROM (SELECT o_custkey, min(o_orderpriority) AS n FROM orders GROUP BY 1) FULL JOIN (SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN c_name END AS c_name FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey")(_upserted)
+    query("review_edits", "SELECT c_custkey AS record_id, CASE c_custkey % 3 WHEN 0 THEN 'new' WHEN 1 THEN NULL ELSE c_name END AS name, CASE WHEN c_custkey % 2 = 0 THEN 7.5 ELSE c_acctbal END::DOUBLE AS total, concat_ws(',', CASE WHEN c_custkey % 3 < 2 THEN 'name' END, CASE WHEN c_custkey % 2 = 0 AND c_acctbal <> 7.5 THEN 'total' END) AS changed FROM customer")(_edited)
+    query("correction_acceptance", "SELECT o_orderkey AS record_id FROM orders WHERE o_orderkey % 4 = 0 AND o_orderkey % 3 <> 0")(_accepted)
+    query("index_refresh", "SELECT p_partkey AS item_id, CASE WHEN p_partkey % 5 = 0 THEN 'new' ELSE 'kept' END AS state FROM part WHERE p_partkey % 5 = 0 AND p_partkey % 10 <> 0 OR p_partkey % 5 <> 0")(_refreshed)
+    query("model_identities", "SELECT s_suppkey, lower(replace(s_name, '#', '')) AS identity FROM supplier")(lambda s, d: read(s, d, "supplier").select("s_suppkey", AN.identity(F.concat(F.lit(" "), F.upper("s_name"))).alias("identity")))
+    query("hybrid_retrieval", LEX.split("SELECT p_partkey, round")[0] + """, lex AS (SELECT p_partkey, round""" + LEX.split("SELECT p_partkey, round")[1] + """), q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
+c AS (SELECT part.p_partkey AS id, p_name, least(greatest(list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))), -1), 1) AS sim, lex.score AS lexical FROM part JOIN embeddings ON p_partkey = vec_id JOIN lex ON lex.p_partkey = part.p_partkey, q),
+grp AS (SELECT lower(p_name) AS identity, list_sort(list(id)) AS ids, max(sim) AS sim, max(lexical) AS lexical FROM c WHERE sim IS NOT NULL GROUP BY 1),
+ranked AS (SELECT *, row_number() OVER (ORDER BY sim DESC, identity) AS vector_rank, CASE WHEN lexical > 0 THEN row_number() OVER (ORDER BY lexical DESC, sim DESC, identity) END AS lexical_rank FROM grp)
+SELECT identity, array_to_string(ids, ',') AS item_ids, vector_rank, lexical_rank, round(1.0::DOUBLE / (60 + vector_rank) + coalesce(1.5::DOUBLE / (60 + lexical_rank), 0), 10) AS fusion FROM ranked ORDER BY 1.0::DOUBLE / (60 + vector_rank) + coalesce(1.5::DOUBLE / (60 + lexical_rank), 0) DESC, lexical DESC, sim DESC, ids[1] LIMIT 20""")(
+        lambda s, d: hybrid_of(s, d).select("identity", F.array_join(F.transform("item_ids", lambda x: x.cast("string")), ",").alias("item_ids"), "vector_rank", "lexical_rank", F.round("fusion", 10).alias("fusion")))
     query("category_coercion", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'unknown' ELSE lower(p_type) END AS category FROM part")(lambda s, d: read(s, d, "part").select("p_partkey", _coerced().alias("category")))
 
 
@@ -184,6 +200,41 @@ def _vectors(s, d) -> DataFrame:
     return hits.groupBy("item_id").agg(F.count("*").alias("n"), (F.floor(F.max("similarity") * 1e6 + 0.5).cast("double") / 1e6).alias("similarity"))
 
 
+def _upserted(s, d) -> DataFrame:
+    old = read(s, d, "orders").groupBy(F.col("o_custkey").alias("job_id")).agg(F.min("o_orderpriority").alias("draft")).withColumn("extraction", F.col("draft"))
+    new = read(s, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("job_id"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_name")).alias("draft")).withColumn("extraction", F.col("draft"))
+    return Q.upsert(old, new, "job_id", ("extraction",))
+
+
+def _edited(s, d) -> DataFrame:
+    c = read(s, d, "customer")
+    k = F.col("c_custkey")
+    before = c.select(k.alias("record_id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("total"))
+    edits = c.where(k % 3 < 2).select(k.alias("record_id"), F.lit("name").alias("field"), F.when(k % 3 == 0, "new").alias("value")).union(c.where(k % 2 == 0).select(k, F.lit("total"), F.lit("7.5")))
+    after = RC.apply_edits(before, edits, ["name", "total"])
+    both = before.select("record_id", F.struct("name", "total").alias("a")).join(after.select("record_id", F.struct("name", "total").alias("b")), "record_id")
+    return both.select("record_id", "b.name", "b.total", F.array_join(Q.changed_fields(F.col("a"), F.col("b"), ["name", "total"]), ",").alias("changed"))
+
+
+def _accepted(s, d) -> DataFrame:
+    """The target is solved for every fourth record; every third has another check that fails newly."""
+    k = F.col("record_id")
+    o = read(s, d, "orders").select(F.col("o_orderkey").alias("record_id"))
+    checks = lambda a, b: o.select("record_id", F.inline(F.array(F.struct(F.lit("A").alias("code"), F.when(a, "passed").otherwise("failed").alias("status")), F.struct(F.lit("B").alias("code"), F.when(b, "passed").otherwise("failed").alias("status")))))
+    return K.accepted(checks(F.lit(False), F.lit(True)), checks(k % 4 == 0, k % 3 != 0), o.withColumn("target", F.lit("A")))
+
+
+def _refreshed(s, d) -> DataFrame:
+    """Texts of every fifth part changed; the embedding of every tenth failed."""
+    k = F.col("p_partkey")
+    docs = read(s, d, "part").select(k.alias("item_id"), F.when(k % 5 == 0, "new").otherwise("kept").alias("document")).withColumn("content_hash", I.content_hash(F.col("document")))
+    vector = F.array(F.lit(1.0)).cast("array<float>")
+    old = docs.select("item_id", F.when(F.col("item_id") % 5 == 0, "old").otherwise(F.col("content_hash")).alias("content_hash"), vector.alias("embedding"))
+    done = I.pending(docs, old).select("item_id", "content_hash", F.when(F.col("item_id") % 10 != 0, vector).alias("embedding"), F.when(F.col("item_id") % 10 == 0, "no").alias("error"))
+    now = I.refresh(old, docs, done)
+    return now.join(docs.select("item_id", F.col("content_hash").alias("h"), "document"), "item_id").where("content_hash = h").select("item_id", F.col("document").alias("state"))
+
+
 def _job_states(s, d) -> DataFrame:
     e = read(s, d, "events")
     k = F.col("event_id")
