@@ -22,7 +22,7 @@ from .operators import retrieval as R
 from .operators import review as Q
 from .operators import telemetry as TM
 from .operators import validation as V
-from .operators.ranking import global_rank
+from .operators.ranking import global_rank, nearest_rank
 from .plans.views import STAR_SQL, approved, items_view, read, receipts_view, star_items, star_receipts
 
 QUERIES: dict = {}
@@ -173,7 +173,7 @@ _COST = "sum(CAST(estimated_cost AS DECIMAL(28,10)))::DOUBLE AS cost"
 query("left_join_pricing_cost", f"WITH {_CALLS_SQL} SELECT call_id, st AS standard_input_tokens, ca AS cached_input_tokens, wr AS cache_write_input_tokens, floor(estimated_cost * 1e8 + 0.5) / 1e8 AS estimated_cost, floor(output_tokens / (nullif(generation_duration_ms, 0) / 1000.0) * 100 + 0.5) / 100 AS tokens_per_second FROM costed")(
     lambda s, d: _costed(s, d).select("call_id", "standard_input_tokens", "cached_input_tokens", "cache_write_input_tokens", (F.floor(F.col("estimated_cost") * 1e8 + 0.5).cast("double") / 1e8).alias("estimated_cost"), M.cents(F.col("tokens_per_second")).alias("tokens_per_second")))
 query("telemetry_summary", f"WITH {_CALLS_SQL} SELECT count(*) AS calls, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, {_AVG_MS}, quantile_disc(duration_ms, 0.95) AS p95_ms, {_COST}, count(estimated_cost) AS priced, count(*) - count(estimated_cost) AS unpriced, CASE WHEN count(DISTINCT currency) = 1 THEN min(currency) END AS currency FROM costed")(lambda s, d: TM.summary(_costed(s, d)))
-query("telemetry_p95", f"WITH {_CALLS_SQL} SELECT provider, quantile_disc(duration_ms, 0.95) AS p95_ms FROM calls GROUP BY provider")(lambda s, d: _calls(s, d).groupBy("provider").agg(F.expr("percentile_disc(0.95) within group (order by duration_ms)").alias("p95_ms")))
+query("telemetry_p95", f"WITH {_CALLS_SQL} SELECT provider, quantile_disc(duration_ms, 0.95) AS p95_ms FROM calls GROUP BY provider")(lambda s, d: nearest_rank(_calls(s, d), ["provider"], "duration_ms", 0.95, "p95_ms"))
 for _key in ("operation", "provider"):
     query(f"telemetry_group_by_{_key}", f"WITH {_CALLS_SQL} SELECT {_key} AS group_key, count(*) AS calls, sum(input_tokens)::BIGINT AS input_tokens, {_AVG_MS}, {_COST}, count(estimated_cost) AS priced, count(*) FILTER (status = 'failed') AS failed FROM costed GROUP BY 1")(lambda s, d, k=_key: TM.by_group(_costed(s, d), k))
 query("model_catalog_full_outer", f"WITH {_CALLS_SQL} SELECT coalesce(a.provider, b.provider) AS provider, coalesce(a.model, b.model) AS model, last_seen, coalesce(calls, 0) AS calls, o IS NOT NULL AS priced FROM (SELECT provider, coalesce(model, '') AS model, max(recorded_at) AS last_seen, count(*) AS calls FROM calls GROUP BY 1, 2) a FULL JOIN prices b ON a.provider = b.provider AND a.model = b.model")(lambda s, d: TM.model_catalog(_calls(s, d), _prices(s)))

@@ -2,6 +2,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import nearest_rank
+
 PRICES = ["input_price_per_million", "cached_input_price_per_million", "cache_write_input_price_per_million", "output_price_per_million"]
 
 
@@ -45,12 +47,13 @@ def _exact(c: Column) -> Column:
 def summary(costed: DataFrame) -> DataFrame:
     """One row over all calls; p95 by nearest rank."""
     one = F.when(F.count_distinct("currency") == 1, F.min("currency"))
-    return costed.agg(
+    sums = costed.agg(
         F.count("*").alias("calls"), F.count_if(F.col("status") == "completed").alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"),
         F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"), (_exact(F.col("duration_ms")) / F.count("duration_ms")).alias("average_ms"),
-        F.expr("percentile_disc(0.95) within group (order by duration_ms)").alias("p95_ms"), _exact(F.col("estimated_cost")).alias("cost"),
+        _exact(F.col("estimated_cost")).alias("cost"),
         F.count_if(F.col("estimated_cost").isNotNull()).alias("priced"), F.count_if(F.col("estimated_cost").isNull()).alias("unpriced"), one.alias("currency"),
     )
+    return sums.join(F.broadcast(nearest_rank(costed, [], "duration_ms", 0.95, "p95_ms")), how="left")  # one row each
 
 
 def by_group(costed: DataFrame, key: str) -> DataFrame:

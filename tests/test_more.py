@@ -9,7 +9,7 @@ from tallyforge.operators import filters as FL
 from tallyforge.operators import lookup as L
 from tallyforge.operators import reports as RP
 from tallyforge.operators import workflow as WF
-from tallyforge.operators.ranking import global_rank
+from tallyforge.operators.ranking import global_rank, nearest_rank
 from tallyforge.sources import records as S
 
 
@@ -73,6 +73,23 @@ def test_ranks(spark):
     assert global_rank(df.limit(0), [F.desc("k")], "place").count() == 0
 
 
+def test_nearest_rank(spark):
+    import math
+    import random
+
+    rng = random.Random(2)
+    rows = [(g, rng.choice([rng.random(), 5.0, rng.lognormvariate(0, 3)]) if rng.random() > 0.1 else None) for g in ("a", "b", None) for _ in range(700)] + [("one", 3.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: r["x"] for r in nearest_rank(df.where("g is not null"), ["g"], "v", 0.95, "x").collect()}
+    for g in ("a", "b", "one"):
+        vs = sorted(v for k, v in rows if k == g and v is not None)
+        assert got.pop(g) == vs[math.ceil(len(vs) * 0.95) - 1]
+    assert not got
+    vs = sorted(v for _, v in rows if v is not None)
+    assert nearest_rank(df, [], "v", 0.5, "x").first()["x"] == vs[math.ceil(len(vs) * 0.5) - 1]
+    assert nearest_rank(df.limit(0), [], "v", 0.5, "x").first()["x"] is None
+
+
 def test_prices(spark):
     cols = "provider string, model string, currency string, input_price_per_million double, cached_input_price_per_million double, cache_write_input_price_per_million double, output_price_per_million double"
     rows = [(" p ", "m", "eur", 1.0, None, None, 2.0), ("p", "m", "eur", float("nan"), None, None, 2.0), ("p", "m", "eur", 1.0, -1.0, None, 2.0), ("p", None, "eur", 1.0, None, None, 2.0)]
