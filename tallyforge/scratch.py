@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that the session names in spark.checkpoint.dir."""
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -37,6 +37,12 @@ class Scratch:
         self.paths[id(out)] = (out, path)
         return out
 
+    def cut_and_see(self, df: DataFrame, **figures: Column) -> tuple[DataFrame, dict]:
+        """The written table, and figures (aggregates) over its rows that are taken on the way, without another job. Each partition that is written counts once."""
+        seen = Observation()
+        out = self.cut(df.observe(seen, *[c.alias(name) for name, c in figures.items()]))
+        return out, seen.get
+
     def release(self, *frames: DataFrame) -> None:
         for df in frames:
             _, path = self.paths.pop(id(df), (None, None))
