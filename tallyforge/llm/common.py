@@ -44,9 +44,10 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 100) -> Dat
     adaptive execution splits. Null ends and self-loops are left out. Raises if it hasn't converged after max_rounds.
     """
     e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    cur, last = scratch.cut(e), None
+    figures = {"rows": F.count(F.lit(1)), "mixed": F.bit_xor(F.xxhash64("u", "v")), "sum": F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))}
+    cur, sign = scratch.cut_and_see(e, **figures)
+    last = None
     for _ in range(max_rounds):
-        sign = cur.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()
         if sign == last:
             return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).union(cur.select("v", "v")).distinct()
         last = sign
@@ -55,7 +56,7 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 100) -> Dat
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        new = scratch.cut(small.distinct())
+        new, sign = scratch.cut_and_see(small.distinct(), **figures)
         scratch.release(cur)
         cur = new
     raise RuntimeError(f"components: not converged after {max_rounds} rounds")

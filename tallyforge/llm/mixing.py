@@ -30,14 +30,14 @@ def sid() -> Column:
     return F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
 
 
-def _tasks(df: DataFrame) -> int:
-    return max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // TASK_ROWS + 1))  # of a written table
+def _tasks(df: DataFrame, rows: int) -> int:
+    return max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // TASK_ROWS + 1))
 
 
-def targets(sources: DataFrame, scratch: Scratch, weights: list[float], most: float) -> DataFrame:
-    """Adds target to sources (sid, source, size, docs). Weights go round the sources in code point order, null last; no target passes `most` times its
+def targets(sources: DataFrame, scratch: Scratch, weights: list[float], most: float, n: int) -> DataFrame:
+    """Adds target to sources (sid, source, size, docs), n of them. Weights go round the sources in code point order, null last; no target passes `most` times its
     source's size, what is over is dealt again by weight until none is above."""
-    ranked = running(sources.select("*", F.col("source").isNull().alias("last"), F.lit(1).cast("long").alias("one")), ["last", "source"], "one", scratch, _tasks(sources))
+    ranked = running(sources.select("*", F.col("source").isNull().alias("last"), F.lit(1).cast("long").alias("one")), ["last", "source"], "one", scratch, _tasks(sources, n))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("before") % len(weights) + 1).cast("int"))
     ranked = scratch.cut(ranked.select("sid", "size", "docs", weight.alias("weight")))
     total = ranked.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
@@ -45,10 +45,10 @@ def targets(sources: DataFrame, scratch: Scratch, weights: list[float], most: fl
     while True:  # the level rises and so more sources are at their bound, until none is added
         over = F.col("weight") * F.lit(each) > F.col("size") * F.lit(float(most))
         over = over | (F.col("size") == 0)
-        n, held, free = ranked.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, F.col("size"))), F.lit(0)), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0.0))).first()
-        if n == capped or free <= 0:
+        at_bound, held, free = ranked.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, F.col("size"))), F.lit(0)), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0.0))).first()
+        if at_bound == capped or free <= 0:
             break
-        each, capped = (total - float(most) * held) / free, n
+        each, capped = (total - float(most) * held) / free, at_bound
     return ranked.select("sid", "size", "docs", F.least(F.col("weight") * F.lit(each), F.col("size") * F.lit(float(most))).alias("target"))
 
 
@@ -64,11 +64,12 @@ def solve(sizes: DataFrame, sources: DataFrame, scratch: Scratch, most: float, n
     full, none = target >= size * F.lit(most * (1 - 1e-12)), target <= 0
     begin = F.when(size == 0, 0.0).when(none, F.lit(-20 * FAR)).when(full, F.lit(20 * FAR)).otherwise(F.log(F.greatest(target, F.lit(1e-300)) / F.greatest(size, F.lit(1))))
     state = sources.select("sid", F.col("size").alias("source_size"), "target", (size / F.greatest("docs", F.lit(1))).alias("mean"), F.lit(-FAR).alias("low"), F.lit(FAR).alias("high"), begin.alias("tilt"), ((size > 0) & ~none & ~full).alias("open"))
-    state = scratch.cut(state)
+    is_open = F.count_if("open")
+    state, seen = scratch.cut_and_see(state, open=is_open)
     rate = _rate(most)
     exact = lambda c: F.sum(c.cast("decimal(38,12)")).cast("double")  # noqa: E731  the same whatever the order
     for _ in range(ROUNDS):
-        if state.where("open").isEmpty():  # a look at a written table
+        if not seen["open"]:
             return state.select("sid", "source_size", "target", "mean", "tilt")
         inner = F.when(rate < most, rate).otherwise(0.0)
         met = by_key(sizes, state.where("open").select("sid", "tilt", "mean"), n, "sid")
@@ -78,10 +79,10 @@ def solve(sizes: DataFrame, sources: DataFrame, scratch: Scratch, most: float, n
         now = now.withColumn("low2", F.when(miss > 0, F.col("low")).otherwise(F.col("tilt"))).withColumn("high2", F.when(miss > 0, F.col("tilt")).otherwise(F.col("high")))
         step = F.when(F.col("h") > 0, F.col("tilt") - miss / F.col("h"))
         step = F.when((step > F.col("low2")) & (step < F.col("high2")) & (F.abs(step - F.col("tilt")) < 20), step).otherwise((F.col("low2") + F.col("high2")) / 2)
-        new = scratch.cut(now.select(
+        new, seen = scratch.cut_and_see(now.select(
             "sid", "source_size", "target", "mean", F.when(F.col("done"), F.col("low")).otherwise(F.col("low2")).alias("low"), F.when(F.col("done"), F.col("high")).otherwise(F.col("high2")).alias("high"),
             F.when(F.col("done"), F.col("tilt")).otherwise(step).alias("tilt"), (~F.col("done")).alias("open"),
-        ))
+        ), open=is_open)
         scratch.release(state)
         state = new
     raise RuntimeError(f"mixing: a source's rates aren't solved after {ROUNDS} steps")
@@ -107,11 +108,12 @@ def _fill(queue: DataFrame, wanted: DataFrame, scratch: Scratch, n: int) -> Data
     The documents of a source are numbered in words by their place, in ranges, so a hot source is split. The first limit is where the words reach the need. Then documents of at most
     half of what is missing go on from there, again and again, so that what is missing halves each time.
     """
-    state = scratch.cut(wanted.select("sid", "target", "need", F.lit(-1.0).alias("key"), F.floor("need").cast("long").alias("most_size"), F.array().cast(_LIMITS).alias("limits"), (F.col("need") >= 1).alias("open")))
-    while not state.where("open").isEmpty():  # a look at a written table
+    is_open = F.count_if("open")
+    state, seen = scratch.cut_and_see(wanted.select("sid", "target", "need", F.lit(-1.0).alias("key"), F.floor("need").cast("long").alias("most_size"), F.array().cast(_LIMITS).alias("limits"), (F.col("need") >= 1).alias("open")), open=is_open)
+    while seen["open"]:
         look = state.where("open").select("sid", "need", F.col("key").alias("from"), "most_size")
-        rows = scratch.cut(by_key(queue, look, n, "sid").where("key >= from and size <= most_size").select("sid", "key", "size", "need"))
-        line = running(rows, ["sid", "key", "size"], "size", scratch, _tasks(rows))
+        rows, met = scratch.cut_and_see(by_key(queue, look, n, "sid").where("key >= from and size <= most_size").select("sid", "key", "size", "need"), rows=F.count(F.lit(1)))
+        line = running(rows, ["sid", "key", "size"], "size", scratch, _tasks(rows, met["rows"]))
         starts = line.groupBy("sid").agg(F.min("before").alias("start"))
         over = by_key(line, starts, n, "sid").where(F.col("before") - F.col("start") + F.col("size") > F.col("need")).groupBy("sid").agg(F.min("key").alias("at"))
         ends = rows.groupBy("sid").agg(F.lit(True).alias("met")).join(over, "sid", "left").select("sid", F.coalesce("at", F.lit(float("inf"))).alias("at"))
@@ -120,11 +122,11 @@ def _fill(queue: DataFrame, wanted: DataFrame, scratch: Scratch, n: int) -> Data
         new = state.join(ends, "sid", "left").join(took, "sid", "left")
         met = F.col("open") & F.col("at").isNotNull()
         left = F.col("need") - F.coalesce("took", F.lit(0))
-        new = scratch.cut(new.select(
+        new, seen = scratch.cut_and_see(new.select(
             "sid", "target", F.when(met, left).otherwise(F.col("need")).alias("need"), F.when(met, F.col("at")).otherwise(F.col("key")).alias("key"), F.when(met, F.floor(left / 2).cast("long")).otherwise(F.col("most_size")).alias("most_size"),
             F.when(met, F.concat("limits", F.array(F.struct(F.col("at").alias("key"), F.col("most_size").alias("size"))))).otherwise(F.col("limits")).alias("limits"),
             (met & (F.col("at") < float("inf")) & (left > NEAR * F.col("target")) & (left >= 2)).alias("open"),
-        ))
+        ), open=is_open)
         scratch.release(state, rows, ends)
         state = new
     return state
@@ -161,9 +163,9 @@ def fit(docs: DataFrame, scratch: Scratch, weights: list[float], most: float) ->
     """Slim rows (doc_id, source, sid, size, h), a row for each source (sid, source_size, target, mean, tilt, limits, also, second), both written, and the number of sources."""
     slim = scratch.cut(docs.select("doc_id", "source", sid().alias("sid"), n_words().alias("size"), unit_hash("doc_id", "text").alias("h")))
     sizes = scratch.cut(slim.groupBy("sid", "source", "size").agg(F.count("*").alias("n")))
-    sources = scratch.cut(sizes.groupBy("sid", "source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("docs")))
-    n = sources.count()
-    params = solve(sizes, targets(sources, scratch, weights, most), scratch, most, n)
+    sources, seen = scratch.cut_and_see(sizes.groupBy("sid", "source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("docs")), n=F.count(F.lit(1)))
+    n = seen["n"]
+    params = solve(sizes, targets(sources, scratch, weights, most, n), scratch, most, n)
     params = round_rates(slim, params, scratch, most, n)
     scratch.keep(slim, params)
     return slim, params, n

@@ -62,14 +62,14 @@ def bit_statistics(fps: DataFrame) -> tuple[np.ndarray, int]:
                 bits = np.unpackbits(x.view("u1").reshape(-1, 8), axis=1, bitorder="little").astype("f4")
                 total += bits.T @ bits
                 n += len(x)
-        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()]), pa.array([n])], ["both", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([[*total.ravel().tolist(), float(n)]])], ["both"])
 
-    part = fps.select("fp").mapInArrow(run, "both array<double>, n long")
-    cells = part.select(F.posexplode("both").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect()  # 4096 rows
-    both = np.zeros(BITS * BITS)
+    part = fps.select("fp").mapInArrow(run, "both array<double>")
+    cells = part.select(F.posexplode("both").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect()  # 4097 rows
+    both = np.zeros(BITS * BITS + 1)
     for r in cells:
         both[r["at"]] = r["x"]
-    return both.reshape(BITS, BITS), int(part.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    return both[:-1].reshape(BITS, BITS), int(both[-1])
 
 
 def group_bits(both: np.ndarray, n: int, parts: int) -> list[list[int]]:

@@ -242,7 +242,7 @@ def test_aliases_against_union_find(spark):
 def test_targets(spark):
     def of(*rows):
         df = spark.createDataFrame([("n" if r[0] is None else "s" + r[0], *r) for r in rows], "sid string, source string, size long, docs long")
-        return {r["sid"]: round(r["target"], 6) for r in mixing.targets(df, Scratch(spark, "t"), [1.0, 2.0, 3.0], 3).collect()}
+        return {r["sid"]: round(r["target"], 6) for r in mixing.targets(df, Scratch(spark, "t"), [1.0, 2.0, 3.0], 3, len(rows)).collect()}
 
     assert of(("b", 100, 1), (None, 100, 1), ("a", 100, 1), ("c", 0, 1)) == {"sa": 75.0, "sb": 150.0, "sc": 0.0, "n": 75.0}
     assert of(("a", 1000, 1), ("b", 10, 1), ("c", 10, 1)) == {"sa": 960.0, "sb": 30.0, "sc": 30.0}

@@ -7,14 +7,16 @@ from collections import Counter
 
 import corpus_pipeline
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe
+from tallyforge.llm import bpe, langid, mixing, similar, zstdclass
 from tallyforge.llm.queries import ORACLES, QUERIES
 
 from .test_operators import ODD, documents
+from .test_similar import brute_groups, brute_shingles
 
 DATA = "/root/testdata/sf0.001"
 
@@ -35,6 +37,40 @@ def test_stages(spark):
     assert seen[0] > seen[1] >= seen[2] > seen[3] and seen[4] == seen[5] > 0
 
 
+def test_run_against_the_stages_by_hand(spark):
+    """run()'s rows, made again from whole texts: scores and far-off texts by the models in plain Python, near-duplicates over all pairs of shingle sets, copies by the mix's own table, ids by the library."""
+    import hashlib
+
+    import tiktoken
+
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    frame = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = zstdclass.fit(frame, spark.read.parquet(f"{DATA}/labels.parquet"))
+    of = model.difference()
+    good = {i for i, r in docs.items() if model.score(np.array([of((r["text"] or "").encode())]))[0] >= 0.7}
+    kept = frame.where(F.col("doc_id").isin(list(good)))
+    lang = langid.fit(kept)
+    near = set()
+    for i in good:
+        c = langid.counts(docs[i]["text"] or "")
+        if c is not None and not lang.predict(c[None])[2][0]:
+            near.add(i)
+    group = brute_groups([(i, docs[i]["text"]) for i in near])
+    of_doc = {i: group[frozenset(brute_shingles(docs[i]["text"]))] for i in near}
+    left = [r["doc_id"] for r in similar.keep_one(frame.where(F.col("doc_id").isin(list(near)))).collect()]
+    groups = len(set(of_doc.values()))  # of exact Jaccard: none is lost, and nine in ten of the copies go
+    assert {of_doc[i] for i in left} == set(of_doc.values()) and len(near) - len(left) >= 0.9 * (len(near) - groups)
+    mixed = {r["doc_id"]: r["copies"] for r in mixing.mix(frame.where(F.col("doc_id").isin(left))).collect()}
+    enc = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    want = Counter()
+    for i, n in mixed.items():
+        ids = enc.encode_ordinary(docs[i]["text"] or "")
+        if n:
+            want[i, docs[i]["source"], docs[i]["lang"], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()] = n
+    got = Counter((r["doc_id"], r["source"], r["lang"], r["n_tokens"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, DATA).collect())
+    assert got == want
+
+
 def test_stages_on_odd_rows(spark, tmp_path):
     """Nulls, empties, repeated rows and clashing columns pass through every stage; without labels or languages nothing is dropped for lack of a model."""
     docs = documents(spark, ODD)
@@ -64,11 +100,14 @@ def test_vectors_against_sql(spark):
     assert got == want
 
 
-def test_entry_without_the_subpackage(tmp_path):
+@pytest.mark.parametrize("pipeline_left", [False, True])
+def test_entry_without_the_subpackage(tmp_path, pipeline_left):
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     import shutil
 
     shutil.copytree(f"{root}/tallyforge", tmp_path / "tallyforge", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    if pipeline_left:
+        shutil.copy(f"{root}/corpus_pipeline.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and len(q) > 40 and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
