@@ -104,7 +104,8 @@ def estimates(both: np.ndarray, n: int, groups: list[list[int]], same: list[floa
     The chance of r differing bits comes from the bits' shares as if they were independent; the measured number of pairs that agree on
     the whole partition (same) is its floor.
     """
-    p = np.diag(both) / max(n, 1)
+    n = max(n, 1)  # of no fingerprints, too, few probes are better than many
+    p = np.diag(both) / n
     out = np.zeros((len(groups), tau + 2))
     for i, g in enumerate(groups):
         dist = np.zeros(len(g) + 1)
