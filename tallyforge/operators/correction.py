@@ -44,17 +44,18 @@ def insertions(source: DataFrame, matched: DataFrame, totals: DataFrame) -> Data
     return left.join(good, "record_id", "left_semi").select("record_id", F.format_string("/items/%d", "item_index").alias("path"), "name", "amount")
 
 
-def worst_first(checks: DataFrame, order: list[str]) -> DataFrame:
-    """The failed check of each record that a round works on: by severity, then by the order of the rules."""
+def worst_first(checks: DataFrame, order: list[str], *more: str) -> DataFrame:
+    """The failed check of each record that a round works on: by severity, then by the order of the rules. record_id, target and the check's other columns that are named."""
     place = lambda c, names: F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(n) for n in names]), c), F.lit(0)), F.lit(len(names) + 1))
     key = F.struct(place(F.col("severity"), SEVERITIES).alias("s"), place(F.col("code"), order).alias("o"))
-    return checks.where("status = 'failed'").groupBy("record_id").agg(F.min_by("code", key).alias("target"))
+    worst = checks.where("status = 'failed'").groupBy("record_id").agg(F.min_by(F.struct(F.col("code").alias("target"), *more), key).alias("w"))
+    return worst.select("record_id", "w.*")
 
 
 def accepted(before: DataFrame, after: DataFrame, targets: DataFrame) -> DataFrame:
-    """Records whose target passes now and of whose checks none failed newly: record_id."""
+    """Records whose target passes now and of whose checks none failed newly: record_id. Targets may be as many as the records, however small their file, so no side is broadcast."""
     b, a = before.select("record_id", "code", F.col("status").alias("was")), after.select("record_id", "code", F.col("status").alias("now"))
-    j = b.join(a, ["record_id", "code"], "full_outer").join(targets, "record_id")
+    j = b.join(a.hint("merge"), ["record_id", "code"], "full_outer").join(targets.hint("merge"), "record_id")
     solved = F.bool_or((F.col("code") == F.col("target")) & (F.col("now") == "passed"))
     worse = F.bool_or((F.coalesce("was", F.lit("passed")) != "failed") & F.coalesce(F.col("now") == "failed", F.lit(False)))
     return j.groupBy("record_id").agg((solved & ~worse).alias("ok")).where("ok").select("record_id")
@@ -64,31 +65,33 @@ def correct(records: DataFrame, check: Callable[[DataFrame], DataFrame], strateg
     """Corrects records in rounds: each record's worst failed check picks a chain of strategies, the next of which is tried; a change stays if the target passes and nothing else fails newly.
 
     records: record_id and the fields that strategies change; check: records -> record_id, code, status, severity; a strategy: records -> the same columns, changed; cut writes a table, so that rounds
-    don't pile up. All records with the same target go through a strategy together. Ends when nothing is left to try, at most after `rounds`.
+    don't pile up. All records with the same target go through a strategy together. Ends when nothing is left to try, at most after `rounds`. Written columns of ids are
+    small files of many rows, which Spark would take for small tables, so every join is told to merge.
     """
     tried: DataFrame | None = None
     for _ in range(rounds):
         checks = cut(check(records))
         if tried is not None:
-            open_ = checks.join(tried, ["record_id", "code"], "left")
+            open_ = checks.join(tried.hint("merge"), ["record_id", "code"], "left")
         else:
             open_ = checks.withColumn("times", F.lit(0))
         steps = F.element_at(F.create_map(*[F.lit(x) for code, chain in strategies.items() for x in (code, len(chain))]), F.col("code"))
         open_ = open_.withColumn("times", F.coalesce("times", F.lit(0))).where(F.coalesce(steps, F.lit(0)) > F.col("times"))
-        targets = cut(worst_first(open_, order).join(open_.select("record_id", F.col("code").alias("target"), "times"), ["record_id", "target"]))
+        targets = cut(worst_first(open_, order, "times"))
         if targets.isEmpty():
             break
         changed = None
         for code, chain in strategies.items():
             for k, strategy in enumerate(chain):
-                mine = records.join(targets.where((F.col("target") == code) & (F.col("times") == k)).select("record_id"), "record_id", "left_semi")
+                mine = records.join(targets.where((F.col("target") == code) & (F.col("times") == k)).select("record_id").hint("merge"), "record_id", "left_semi")
                 made = strategy(mine).select(records.columns)
                 changed = made if changed is None else changed.union(made)
         changed = cut(changed)
         good = cut(accepted(checks, check(changed), targets.select("record_id", "target")))
+        good = good.hint("merge")
         records = cut(records.join(good, "record_id", "left_anti").union(changed.join(good, "record_id", "left_semi").select(records.columns)))
         now = targets.select("record_id", F.col("target").alias("code"), (F.col("times") + 1).alias("times"))
-        tried = cut(now if tried is None else tried.join(now.select("record_id", "code"), ["record_id", "code"], "left_anti").unionByName(now))
+        tried = cut(now if tried is None else tried.join(now.select("record_id", "code").hint("merge"), ["record_id", "code"], "left_anti").unionByName(now))
     return records
 
 

@@ -5,11 +5,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.operators import backfill as B
+from tallyforge.operators import correction as K
 from tallyforge.operators import filters as FL
 from tallyforge.operators import lookup as L
 from tallyforge.operators import reports as RP
 from tallyforge.operators import workflow as WF
 from tallyforge.operators.ranking import global_rank, nearest_rank
+from tallyforge.scratch import Scratch
 from tallyforge.sources import records as S
 
 
@@ -136,3 +138,18 @@ def test_engine(spark, tmp_path):
     assert out.columns == ["id", *STAGES]
     with pytest.raises(ValueError, match="missing or unknown"):
         extract(spark.range(1), {}, scratch.cut)
+
+
+def test_rounds_broadcast_no_records(spark):
+    """Written ids are small files, but as many as the records."""
+    records = spark.range(300).select(F.col("id").alias("record_id"), (F.col("id") % 3).alias("a"), (F.col("id") % 2).alias("b"))
+    check = lambda r: r.select("record_id", F.inline(F.array(*[F.struct(F.lit(c.upper()).alias("code"), F.when(F.col(c) == 0, "passed").otherwise("failed").alias("status"), F.lit("error").alias("severity")) for c in "ab"])))
+    scratch, plans = Scratch(spark, "rounds"), []
+
+    def cut(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return scratch.cut(df)
+
+    fixed = K.correct(records, check, {"A": [lambda r: r.withColumn("a", F.col("a") - 1)], "B": [lambda r: r, lambda r: r.withColumn("b", F.lit(0))]}, cut, ["A", "B"])
+    assert {tuple(r) for r in fixed.collect()} == {(i, 2 if i % 3 == 2 else 0, 0) for i in range(300)}
+    assert len(plans) > 10 and not [p for p in plans if "Broadcast" in p]
