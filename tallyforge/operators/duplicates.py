@@ -1,12 +1,14 @@
 """Duplicate records: fingerprints and scored candidate pairs."""
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Points of each kind of agreement and the score of a candidate.
 POINTS = {"hash": 100, "merchant": 20, "total": 25, "date": 20, "time": 15, "high": 30, "medium": 15}
 CANDIDATE = 70
+# Equal records that travel in one row while pairs are sought.
+UNIT = 64
 
 
 def content_fingerprint(merchant: Column, date: Column, time: Column, total: Column, n: Column) -> Column:
@@ -23,14 +25,30 @@ def overlap(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
 
 
-def score(a: str = "a", b: str = "b") -> Column:
-    """Of rows a and b: file_sha256, merchant, grand_total, receipt_date, receipt_time, names; 100 at most."""
+def _agreements(a: str, b: str) -> Column:
+    """The points of all but the names."""
     x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
     same = lambda c: F.coalesce((x(c) == y(c)) & (x(c) != ""), F.lit(False))
     total = F.coalesce(F.abs(x("grand_total").cast("decimal(18,2)") - y("grand_total").cast("decimal(18,2)")) <= 0.01, F.lit(False))
-    o = overlap(x("names"), y("names"))
-    points = [F.when(same("file_sha256"), POINTS["hash"]), F.when(same("merchant"), POINTS["merchant"]), F.when(total, POINTS["total"]), F.when(same("receipt_date"), POINTS["date"]), F.when(same("receipt_time"), POINTS["time"]), F.when(o >= 0.75, POINTS["high"]).when(o >= 0.45, POINTS["medium"])]
-    return F.least(reduce(lambda p, q: p + q, [F.coalesce(p, F.lit(0)) for p in points]), F.lit(100))
+    points = [F.when(same("file_sha256"), POINTS["hash"]), F.when(same("merchant"), POINTS["merchant"]), F.when(total, POINTS["total"]), F.when(same("receipt_date"), POINTS["date"]), F.when(same("receipt_time"), POINTS["time"])]
+    return reduce(lambda p, q: p + q, [F.coalesce(p, F.lit(0)) for p in points])
+
+
+def score(a: str = "a", b: str = "b") -> Column:
+    """Of rows a and b: file_sha256, merchant, grand_total, receipt_date, receipt_time, names; 100 at most."""
+    o = overlap(F.col(f"{a}.names"), F.col(f"{b}.names"))
+    return F.least(_agreements(a, b) + F.when(o >= 0.75, POINTS["high"]).when(o >= 0.45, POINTS["medium"]).otherwise(0), F.lit(100))
+
+
+def _units(records: DataFrame) -> DataFrame:
+    """Records that agree in everything travel together: a row for up to UNIT of them, with ids, lo and hi. Names are distinct, in the order of a hash."""
+    names = F.array_distinct(F.coalesce("names", F.array().cast("array<string>")))
+    ordered = F.transform(F.array_sort(F.transform(names, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("n")))), lambda x: x["n"])
+    same = ["file_sha256", "merchant", "grand_total", "receipt_date", "receipt_time", "names"]
+    r = records.where("id is not null").select("id", "file_sha256", "merchant", F.col("grand_total").cast("decimal(18,2)").alias("grand_total"), "receipt_date", "receipt_time", ordered.alias("names"))
+    # a window spills what doesn't fit; a list of all ids of a class would not
+    place = F.row_number().over(Window.partitionBy(*same).orderBy("id"))
+    return r.withColumn("unit", F.floor((place - 1) / UNIT)).groupBy(*same, "unit").agg(F.collect_list("id").alias("ids"), F.min("id").alias("lo"), F.max("id").alias("hi"))
 
 
 def candidate_pairs(records: DataFrame, least: int = CANDIDATE) -> DataFrame:
@@ -39,21 +57,32 @@ def candidate_pairs(records: DataFrame, least: int = CANDIDATE) -> DataFrame:
     Without equal files, 70 points take total, merchant, date and time all together, or an overlap of item names of 0.45 and either the total or merchant and date. Sets that
     overlap by 0.45 share one of their first n - ceil(0.45 n) + 1 names in any common order, here that of a hash, so a name of that prefix is part of the key and blocks
     stay small. Totals a cent apart are met by giving each record both neighbouring cents.
+
+    Equal records meet others once for all of them, and a pair counts only in the first of the blocks that it shares. So pairs are scored where they meet and go straight to the result:
+    no pair is shuffled.
     """
     if least < 70:
         raise ValueError("the blocking keys are complete from 70 points on")
-    cent = F.round(F.col("grand_total").cast("decimal(18,2)") * 100).cast("long")
-    key = lambda kind, *c: F.concat_ws("|", F.lit(kind), *[x.cast("string") for x in c])
     said = lambda c: F.col(c) != ""
-    names = F.array_distinct(F.coalesce("names", F.array().cast("array<string>")))
-    order = F.array_sort(F.transform(names, lambda x: F.xxhash64(x)))
-    prefix = F.slice(order, F.lit(1), F.when(F.size(order) > 0, F.size(order) - F.ceil(F.size(order) * F.lit(0.45)).cast("int") + 1).otherwise(0))
-    base = records.withColumn("prefix", prefix)
-    alone = F.array_compact(F.array(F.when(said("file_sha256"), key("f", F.col("file_sha256"))), *[F.when(said("merchant") & said("receipt_date") & said("receipt_time"), key("a", cent + d, F.col("merchant"), F.col("receipt_date"), F.col("receipt_time"))) for d in (0, 1)]))
-    each = lambda h: F.array_compact(F.array(F.when(said("merchant") & said("receipt_date"), key("n", F.col("merchant"), F.col("receipt_date"), h)), *[F.when(cent.isNotNull(), key("t", cent + d, h)) for d in (0, 1)]))
-    keyed = base.withColumn("block", F.explode(F.array_distinct(F.concat(alone, F.flatten(F.transform("prefix", each)))))).drop("prefix")
-    slim = keyed.select("id", "block")
-    # ids alone meet in the blocks; records follow for the distinct pairs only
-    pairs = slim.alias("a").join(slim.alias("b"), (F.col("a.block") == F.col("b.block")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
-    met = pairs.join(records.alias("a"), F.col("id_a") == F.col("a.id")).join(records.alias("b"), F.col("id_b") == F.col("b.id"))
-    return met.select("id_a", "id_b", score().alias("score")).where(F.col("score") >= least)
+    cent = (F.col("grand_total") * 100).cast("long")
+    n = F.size("names")
+    units = _units(records).withColumn("cent", cent).withColumn("prefix", F.slice("names", F.lit(1), F.when(n > 0, n - F.floor((n * 9 + 19) / 20).cast("int") + 1).otherwise(0)))
+    block = lambda kind, c, name: F.struct(F.lit(kind).alias("kind"), c.cast("long").alias("cent"), name.cast("string").alias("name"))
+    none, shop = F.lit(None), said("merchant") & said("receipt_date")
+    alone = [F.when(said("file_sha256"), block(0, none, none)), *[F.when(shop & said("receipt_time") & F.col("cent").isNotNull(), block(1, F.col("cent") + d, none)) for d in (0, 1)]]
+    each = lambda x: F.array(F.when(shop, block(2, none, x)), *[F.when(F.col("cent").isNotNull(), block(3, F.col("cent") + d, x)) for d in (0, 1)])
+    keyed = units.withColumn("block", F.explode(F.array_compact(F.concat(F.array(*alone), F.flatten(F.transform("prefix", each))))))
+    kind = F.col("block.kind")
+    # a hash of the block's fields; blocks with equal hashes are told apart below
+    of = F.xxhash64("block", *[F.when(kind.isin(*kinds), F.col(c)) for c, kinds in (("file_sha256", [0]), ("merchant", [1, 2]), ("receipt_date", [1, 2]), ("receipt_time", [1]))])
+    keyed = keyed.withColumn("key", of).hint("merge")
+    x, y = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    same = lambda c: F.coalesce((x(c) == y(c)) & (x(c) != ""), F.lit(False))
+    near = F.coalesce(F.abs(x("cent") - y("cent")) <= 1, F.lit(False))
+    bought = same("merchant") & same("receipt_date")
+    first = F.when(same("file_sha256"), 0).when(bought & same("receipt_time") & near, 1).when(bought, 2).when(near, 3)
+    cents = ~x("block.kind").isin(1, 3) | (x("block.cent") == F.greatest(x("cent"), y("cent")))
+    named = ~x("block.kind").isin(2, 3) | x("block.name").eqNullSafe(F.get(F.array_intersect(x("prefix"), y("prefix")), F.lit(0)))
+    met = (x("key") == y("key")) & (x("lo") < y("hi")) & x("block").eqNullSafe(y("block")) & (x("block.kind") == first) & cents & (_agreements("a", "b") >= least - POINTS["high"]) & named
+    scored = keyed.alias("a").join(keyed.alias("b"), met).select(x("ids").alias("ids_a"), y("ids").alias("ids_b"), score().alias("score")).where(F.col("score") >= least)
+    return scored.select(F.explode("ids_a").alias("id_a"), "ids_b", "score").select("id_a", F.explode("ids_b").alias("id_b"), "score").where("id_a < id_b")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import backfill as B
 from tallyforge.operators import correction as K
+from tallyforge.operators import duplicates as D
 from tallyforge.operators import filters as FL
 from tallyforge.operators import lookup as L
 from tallyforge.operators import reports as RP
@@ -153,3 +154,17 @@ def test_rounds_broadcast_no_records(spark):
     fixed = K.correct(records, check, {"A": [lambda r: r.withColumn("a", F.col("a") - 1)], "B": [lambda r: r, lambda r: r.withColumn("b", F.lit(0))]}, cut, ["A", "B"])
     assert {tuple(r) for r in fixed.collect()} == {(i, 2 if i % 3 == 2 else 0, 0) for i in range(300)}
     assert len(plans) > 10 and not [p for p in plans if "Broadcast" in p]
+
+
+def test_pairs_of_copies_meet_no_shuffle(spark):
+    """All pairs of a class of equal records, over more than one unit, each once and with the right points; they go from the join to the result."""
+    copies = [(i, None, "rewe", 10.0, "2026-01-01", None, ["a", "b", "c"]) for i in range(150)]
+    others = [(200, None, "rewe", 10.01, "2026-01-01", "10:00", ["c", "b", "a"]), (201, "h", "", 10.0, "2026-01-01", None, ["a", "b", None]), (202, "h", None, 10.01, None, "10:00", None), (203, None, "aldi", 9.98, "2026-01-01", None, ["a", "b", "c"])]
+    rows = copies + others + [(300 + i, None, "rewe", None, "2026-01-01", None, ["x", "y"]) for i in range(3)]
+    df = spark.createDataFrame(rows, "id long, file_sha256 string, merchant string, grand_total double, receipt_date string, receipt_time string, names array<string>")
+    pairs = D.candidate_pairs(df)
+    got = [tuple(r) for r in pairs.collect()]
+    every = df.alias("a").join(df.alias("b"), F.col("a.id") < F.col("b.id")).select(F.col("a.id"), F.col("b.id"), D.score().alias("score")).where("score >= 70")
+    assert sorted(got) == sorted(tuple(r) for r in every.collect()) and len(got) > 150 * 149 / 2
+    plan = pairs._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and plan.index("SortMergeJoin") > plan.rindex("Generate explode(ids") and "Broadcast" not in plan
