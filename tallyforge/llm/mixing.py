@@ -161,7 +161,7 @@ def round_rates(slim: DataFrame, params: DataFrame, scratch: Scratch, most: floa
 
 def fit(docs: DataFrame, scratch: Scratch, weights: list[float], most: float) -> tuple[DataFrame, DataFrame, int]:
     """Slim rows (doc_id, source, sid, size, h), a row for each source (sid, source_size, target, mean, tilt, limits, also, second), both written, and the number of sources."""
-    slim = scratch.cut(docs.select("doc_id", "source", sid().alias("sid"), n_words().alias("size"), unit_hash("doc_id", "text").alias("h")))
+    slim = scratch.cut(docs.select("doc_id", "source", sid().alias("sid"), n_words().alias("size"), unit_hash("doc_id", "text").alias("h")), few="h")
     sizes = scratch.cut(slim.groupBy("sid", "source", "size").agg(F.count("*").alias("n")))
     sources, seen = scratch.cut_and_see(sizes.groupBy("sid", "source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("docs")), n=F.count(F.lit(1)))
     n = seen["n"]

@@ -247,19 +247,19 @@ def linked(nodes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x.as_py()).tobytes() for x in b.column(1)], pa.binary())], ["id", "h"])
 
-    sets = scratch.cut(texts.join(group.select(F.col("node").alias("id")).hint("merge"), "id", "left_semi").select("id", "text").mapInArrow(run, "id long, h binary"))
+    sets = scratch.cut(texts.join(group.select(F.col("node").alias("id")).hint("merge"), "id", "left_semi").select("id", "text").mapInArrow(run, "id long, h binary"), few="id")
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
     middle = group.join(degree, "node").groupBy("root").agg(F.max(F.struct("n", (-F.col("node")).alias("node"))).alias("m")).select("root", (-F.col("m.node")).alias("middle"))
     star = group.join(middle, "root").where("node <> middle").select(F.col("node").alias("a"), F.col("middle").alias("b"))
-    star = scratch.cut(verified(star, sets))
+    star = scratch.cut(verified(star, sets), few="a")
     held = star.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     for end in ("a", "b"):
         edges = edges.join(held.select(F.col("node").alias(end), F.lit(True).alias(f"held_{end}")), end, "left")
     rest = verified(edges.where("held_a is null or held_b is null").select("a", "b"), sets)
-    sure = scratch.cut(star.union(rest))
+    sure = scratch.cut(star.union(rest), few="a")
     part = scratch.cut(components(sure, scratch))
     members = group.join(part.select("node", F.col("root").alias("part")), "node", "left").select("root", F.col("node").alias("id"), F.coalesce("part", "node").alias("part"))
-    more = scratch.cut(apart(members.join(nodes, "id"), sets))
+    more = scratch.cut(apart(members.join(nodes, "id"), sets), few="a")
     if more.isEmpty():  # a look at a written table
         return part
     out = components(part.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), scratch)

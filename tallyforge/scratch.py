@@ -29,9 +29,13 @@ class Scratch:
         self.n += 1
         return f"{self.root}/{self.n}"
 
-    def cut(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
+    def cut(self, df: DataFrame, partition_by: str | None = None, few: str | None = None) -> DataFrame:
+        """The table, written and read again. few: a column by which rows of few bytes are dealt anew, so that there are only as many files as their size takes.
+
+        Each file costs: without native Hadoop a child process sets its permissions, and for some milliseconds that counts the memory of the whole JVM again. A marker of success has no reader.
+        """
         path = self.path()
-        w = df.write.option("compression", "zstd")
+        w = (df.hint("rebalance", few) if few else df).write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
         (w.partitionBy(partition_by) if partition_by else w).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)

@@ -2,6 +2,7 @@
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tallyforge import scratch
 from tallyforge.llm import similar
 
 from .test_operators import ODD, WORDS, brute_components, documents, prose
@@ -98,3 +100,22 @@ def test_forest(n, pairs):
     one = brute_components(n, lambda i, j: (i, j) in set(pairs) or (j, i) in set(pairs))
     assert one == brute_components(n, lambda i, j: (i, j) in chosen or (j, i) in chosen)
     assert len(keep) == n - len(set(one))
+
+
+def test_slim_tables_come_in_few_files(spark, tmp_path, monkeypatch):
+    """However many files the documents come in, sizes and verified edges are written in one while they are small, without a marker that would be one more file."""
+    rng = random.Random(5)
+    base = [prose(rng, 150) for _ in range(20)]
+    docs = documents(spark, [(i, changed(rng, base[i % 20], i // 20 % 2), "en", "a") for i in range(80)]).repartition(8)
+    written, cut = [], scratch.Scratch.cut
+
+    def counted(self, df, *args, **more):
+        out = cut(self, df, *args, **more)
+        folder = Path(f"{self.root}/{self.n}".removeprefix("file://"))
+        written.append((df.columns, len(list(folder.glob("part-*"))), (folder / "_SUCCESS").exists()))
+        return out
+
+    monkeypatch.setattr(scratch.Scratch, "cut", counted)
+    corpus_pipeline.mix(spark, similar.keep_one(docs.union(docs.limit(5))).repartition(8), "").collect()
+    assert {n for c, n, _ in written if c[:2] in (["doc_id", "source"], ["a", "b"], ["id", "h"])} == {1}
+    assert not [c for c, _, marked in written if marked]
