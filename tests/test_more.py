@@ -1,5 +1,6 @@
 """Golden cases of the workflow, reports, lookups, sources and corrections that queries don't show."""
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,3 +169,24 @@ def test_pairs_of_copies_meet_no_shuffle(spark):
     assert sorted(got) == sorted(tuple(r) for r in every.collect()) and len(got) > 150 * 149 / 2
     plan = pairs._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("SortMergeJoin") == 1 and plan.index("SortMergeJoin") > plan.rindex("Generate explode(ids") and "Broadcast" not in plan
+
+
+def test_pairs_of_few_totals_and_names(spark, tmp_path):
+    """Records that differ, but in few totals and few names: all pairs and points, few meetings a record, one exchange for both sides of the join."""
+    r = random.Random(3)
+    sizes = [0, 1, 1, 2, 2, 3, 3, 4, 4, 4, 5, 5, 6, 7]
+    few = [(i, None, r.choice(["rewe", "aldi", "", None]), r.choice([-0.01, -0.08, -0.09, 0.07, 0.08, 0.09, 5.0, None]), f"2026-01-{r.randrange(28)}", r.choice([None, "", "10:00", "11:00"]), r.sample(range(16), r.choice(sizes))) for i in range(900)]
+    # around the number of names from which on one of them makes a key
+    many = [(2000 + i, None, "rewe", 7.5, f"2025-{i}", None, r.sample(range(22), r.randrange(12, 22))) for i in range(120)]
+    rows = [(*x[:6], [f"name {n}" for n in x[6]]) for x in few + many]
+    df = spark.createDataFrame(rows, "id long, file_sha256 string, merchant string, grand_total double, receipt_date string, receipt_time string, names array<string>")
+    df.write.parquet(f"{tmp_path}/records")
+    df = spark.read.parquet(f"{tmp_path}/records")
+    pairs = D.candidate_pairs(df)
+    every = df.alias("a").join(df.alias("b"), F.col("a.id") < F.col("b.id")).select(F.col("a.id"), F.col("b.id"), D.score().alias("score")).where("score >= 70")
+    want = sorted(tuple(x) for x in every.collect())
+    assert sorted(tuple(x) for x in pairs.collect()) == want and sum(a < 2000 for a, _, _ in want) > 60 and sum(a >= 2000 for a, _, _ in want) > 100
+    plan = pairs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert len([x for x in plan.splitlines() if "Exchange hashpartitioning(key" in x and "Reused" not in x]) == 1
+    met = D._keyed(D._units(df.where("id < 2000"))).groupBy("key").count().selectExpr("sum(count * (count - 1) / 2)").first()[0]
+    assert met < 0.04 * 900 * 899 / 2, met / (900 * 899 / 2)
